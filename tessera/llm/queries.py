@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, token_output
+from tessera.llm import mixing, personal_data, token_output
 from tessera.llm.shared import documents
 
 
@@ -18,8 +18,12 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.spans(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op7_token_output": op7_token_output}
+    return {"op2_mixing": op2_mixing, "op7_token_output": op7_token_output, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
