@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in slices of about so many bytes (a longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, np.uint64)
@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _grow(n: int) -> None:
     global _powers, _inverses
     if len(_powers) < n:
-        size = max(n, SLICE_BYTES + 1)
+        size = max(n + n // 4, SLICE_BYTES + 1)
         for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1

@@ -18,6 +18,7 @@ other, and a lookup gives the first of them; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -34,10 +35,10 @@ from tessera.llm import textkit
 from tessera.llm.shared import materialise, scratch, shuffle_partitions, tokenizer_path, tune
 
 END_ID = 2
-#: Ids of a shard at most (but for a single longer document): 32 MB at 2 bytes.
-SHARD_TOKENS = 16_000_000
-#: Pieces that a worker remembers at most.
-REMEMBERED = 1_000_000
+#: Ids of a shard at most (but for a single longer document): 16 MB at 2 bytes.
+SHARD_TOKENS = 8_000_000
+#: Pieces that a worker remembers at most: about 60 MB.
+REMEMBERED = 1_500_000
 MAGIC = b"TESSIDS1"
 _HEADER = struct.Struct("<8sBxxxIQQQ")  # magic, bytes of an id, buckets, documents, indexed keys, ids
 
@@ -62,31 +63,53 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of whole texts, by distinct pieces."""
+    """Ids of whole texts, by distinct pieces. What is known of a piece is kept in arrays sorted by its hash."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[bytes], hashes: list[int]) -> None:
-        if len(self.seen) + len(pieces) > REMEMBERED:
-            self.seen.clear()
-            self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        at, parts = len(self.seen), [self.flat]
-        lengths = []
-        for lo in range(0, len(pieces), 20_000):
-            for x in self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces[lo : lo + 20_000]], add_special_tokens=False):
-                ids = np.asarray(x.ids, np.uint32)
-                parts.append(ids)
-                lengths.append(len(ids))
-        self.flat = np.concatenate(parts)
-        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.asarray(lengths, np.int64))])
-        self.seen.update(zip(hashes, range(at, at + len(hashes)), strict=True))
+        size = self.tokenizer.get_vocab_size()
+        #: Bytes that an id stands for: the byte-level alphabet has one character a byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), 0
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece). Pieces that begin with a plain space keep their ids when they are joined, so they go in long runs."""
+        joined = [i for i, p in enumerate(pieces) if p[0] == 0x20 and len(p) > 1 and p[-1] > 0x20]
+        alone = sorted(set(range(len(pieces))).difference(joined))
+        found: list = [None] * len(pieces)
+        runs, sizes = [joined[lo : lo + 1000] for lo in range(0, len(joined), 1000)], np.array([len(p) for p in pieces])
+        texts = [b"".join(pieces[i] for i in run).decode("utf-8", "replace") for run in runs]
+        for run, x in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(x.ids, np.uint32)
+            covered = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum(sizes[run])
+            at = np.searchsorted(covered, ends)
+            if (covered[np.minimum(at, len(covered) - 1)] != ends).any():
+                alone += run
+                continue
+            for i, part in zip(run, np.split(ids, at[:-1] + 1), strict=True):
+                found[i] = part
+        for i, x in zip(alone, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
+            found[i] = np.asarray(x.ids, np.uint32)
+        return np.concatenate(found), np.array([len(x) for x in found])
+
+    def _learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
+        ids, lengths = self._encoded(pieces)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        at = np.searchsorted(self.keys, keys)
+        self.first = np.insert(self.first, at, self.used + np.cumsum(lengths) - lengths)
+        self.lengths = np.insert(self.lengths, at, lengths)
+        self.keys = np.insert(self.keys, at, keys)
+        self.used += len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
@@ -95,21 +118,32 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.append(starts[1:], len(data))
         unique, where, inverse = np.unique(textkit.span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        keys = unique.tolist()
-        if len(self.seen) + len(keys) > REMEMBERED:  # what this call needs must be there at once
-            self.seen.clear()
-            self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        new = [i for i, k in enumerate(keys) if k not in self.seen]
-        if new:
+        if len(self.keys) + len(unique) > REMEMBERED:
+            self._forget()
+        at = np.searchsorted(self.keys, unique)
+        new = at == len(self.keys)
+        new[~new] = self.keys[at[~new]] != unique[~new]
+        if new.any():
             raw = data.tobytes()
-            self._learn([raw[starts[w] : ends[w]] for w in where[new]], [keys[i] for i in new])
-        slot = np.fromiter((self.seen[k] for k in keys), np.int64, len(keys))[inverse]
-        lengths = np.diff(self.first)[slot]
+            self._learn([raw[starts[w] : ends[w]] for w in where[new]], unique[new])
+            at = np.searchsorted(self.keys, unique)
+        slot = at[inverse]
+        lengths = self.lengths[slot]
         ids = self.flat[textkit.gather_ranges(self.first[slot], lengths)]
         done = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(done[np.searchsorted(starts, offsets)])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """A worker's encoder: it lives as long as the worker, so that later tasks know the common pieces."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # Index ---------------------------------------------------------------------------------------------------------------
 
 
@@ -235,7 +269,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        encoder, part, seq, held = Encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, held = encoder_for(vocabulary), TaskContext.get().partitionId(), 0, 0
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
         kept: list[tuple] = []
 
@@ -254,7 +288,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             column = batch.column("doc_id")
             null = np.asarray(column.is_null())
             keys = np.asarray(column.fill_null(0)).astype(np.int64)
-            for lo, hi, data, offsets in textkit.slices(batch.column("text")):
+            for lo, hi, data, offsets in textkit.slices(batch.column("text"), 1 << 20):
                 ids, counts = encoder.encode(data, offsets)
                 to = np.cumsum(counts)
                 ids = np.insert(ids, to, end_id)
