@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, personal_data, token_output
+from tessera.llm import mixing, personal_data, secrets, token_output
 from tessera.llm.shared import documents
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
@@ -23,8 +27,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op7_token_output": op7_token_output, "op10_personal_data": op10_personal_data}
+    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op7_token_output": op7_token_output, "op10_personal_data": op10_personal_data}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE_SQL}
+    return {"op1_secrets": op1_secrets, "op2_mixing": mixing.ORACLE_SQL}
