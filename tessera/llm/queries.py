@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, personal_data, secrets, token_output
-from tessera.llm.shared import documents
+from tessera.llm import decontamination, mixing, personal_data, secrets, token_output
+from tessera.llm.shared import documents, table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.digest(decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
@@ -27,7 +31,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_mixing": op2_mixing, "op7_token_output": op7_token_output, "op10_personal_data": op10_personal_data}
+    every = (op1_secrets, op2_mixing, op4_decontamination, op7_token_output, op10_personal_data)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
