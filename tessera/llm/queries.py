@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, mixing, personal_data, secrets, token_output
+from tessera.llm import decontamination, mixing, near_duplicates, personal_data, secrets, token_output
 from tessera.llm.shared import documents, table
 
 
@@ -22,6 +22,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(documents(spark, sf_dir))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_mixing, op4_decontamination, op7_token_output, op10_personal_data)
+    every = (op1_secrets, op2_mixing, op4_decontamination, op5_near_duplicates, op7_token_output, op10_personal_data)
     return {f.__name__: f for f in every}
 
 
