@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, near_duplicates, personal_data, secrets, token_output
+from tessera.llm import decontamination, mixing, near_duplicates, nearest, personal_data, secrets, token_output
 from tessera.llm.shared import documents, table
 
 
@@ -18,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(documents(spark, sf_dir))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.overlaps(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")))
 
@@ -35,7 +40,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_mixing, op4_decontamination, op5_near_duplicates, op7_token_output, op10_personal_data)
+    every = (op1_secrets, op2_mixing, op3_nearest, op4_decontamination, op5_near_duplicates, op7_token_output, op10_personal_data)
     return {f.__name__: f for f in every}
 
 
