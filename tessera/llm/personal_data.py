@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import materialise
+from tessera.llm.weak_labels import reliabilities
 
 # Fixed values ----------------------------------------------------------------------------------------------------------
 BASE = {
@@ -49,7 +50,6 @@ OTHER = "version|build|release|isbn|issn|sku|order|invoice|serial|token|secret|k
 #: Digits of an address range that no person holds.
 RESERVED = r"^(?:0|10|127|169\.254|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\."
 CONTEXT = 32
-ROUNDS = 50
 
 
 def _needs(kind: str, text: Column) -> Column:
@@ -118,6 +118,8 @@ def _votes(kind: str, m: Column, left: Column, right: Column) -> list[Column]:
 
 
 LABELERS = ("shape", "cue", "other", "alone", "joined", "varied")
+#: The middle four only ever speak for one side; for the prior they are as good as silent.
+EXPECTED = [(0, 1), (2, 2), (2, 2), (2, 2), (2, 2), (0, 1)]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -141,41 +143,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[judged(k).alias(k) for k in patterns])
 
 
-def reliabilities(counts: dict[tuple[str, str], int], rounds: int = ROUNDS) -> tuple[dict[str, float], list[dict[int, list[float]]], float]:
-    """Expectation-maximisation over counted (kind, votes): posterior of each vote pattern, the labelers' vote probabilities given the
-    class, and the share of personal data. One dict of plain numbers; its size does not depend on the corpus."""
-    patterns: dict[str, float] = {}
-    for (_, votes), n in counts.items():
-        patterns[votes] = patterns.get(votes, 0) + n
-    total = sum(patterns.values())
-    if not total:
-        return {}, [], 0.5
-    # the start: the share of yes among the votes, drawn a little to yes
-    post = {v: (v.count("1") + 1) / (v.count("1") + v.count("0") + 1.5) for v in patterns}
-    share, tables = 0.5, []
-    for _ in range(rounds):
-        share = min(max(sum(n * post[v] for v, n in patterns.items()) / total, 0.01), 0.99)
-        tables = []
-        for k in range(len(LABELERS)):
-            table = {}
-            for c in (0, 1):
-                cells = [0.5, 0.5, 0.5]
-                cells[c if k not in (1, 2, 3, 4) else 2] += 1.0  # a labeler is taken to be better than chance
-                for v, n in patterns.items():
-                    cells[int(v[k])] += n * (post[v] if c else 1 - post[v])
-                table[c] = [x / sum(cells) for x in cells]
-            tables.append(table)
-        new = {}
-        for v in patterns:
-            odds = math.log(share / (1 - share)) + sum(math.log(tables[k][1][int(x)] / tables[k][0][int(x)]) for k, x in enumerate(v))
-            new[v] = 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-        moved = max(abs(new[v] - post[v]) for v in patterns)
-        post = new
-        if moved < 1e-9:
-            break
-    return post, tables, share
-
-
 def span_classifier(counts: dict[tuple[str, str], int], post: dict[str, float], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> dict[tuple[str, str], float]:
     """A logistic model on votes and kind, trained on the counted patterns with their posteriors; its probability for each (kind, votes)."""
 
@@ -206,7 +173,10 @@ def trained(found: DataFrame) -> dict[tuple[str, str], float]:
     each = F.explode(F.flatten(F.array(*[of(k) for k in KINDS])))
     rows = found.select(each.alias("c")).groupBy("c.kind", "c.votes").count().collect()  # at most 7 * 729 rows
     counts = {(r["kind"], r["votes"]): r["count"] for r in rows}
-    post, _, _ = reliabilities(counts)
+    patterns: dict[str, float] = {}
+    for (_, votes), n in counts.items():
+        patterns[votes] = patterns.get(votes, 0) + n
+    post, _, _ = reliabilities(patterns, EXPECTED)
     return span_classifier(counts, post)
 
 
