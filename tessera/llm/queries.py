@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, html_content, mixing, near_duplicates, nearest, personal_data, quality, secrets, token_output
+from tessera.llm import decontamination, html_content, language_model, mixing, near_duplicates, nearest, personal_data, quality, secrets, token_output
 from tessera.llm.shared import documents, table
 
 
@@ -39,6 +39,10 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_output(documents(spark, sf_dir))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(documents(spark, sf_dir))
+
+
 def op9_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_content.main_text(table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_secrets, op2_mixing, op3_nearest, op4_decontamination, op5_near_duplicates, op6_quality, op7_token_output, op9_html_content, op10_personal_data)
+    every = (op1_secrets, op2_mixing, op3_nearest, op4_decontamination, op5_near_duplicates, op6_quality, op7_token_output, op8_language_model, op9_html_content, op10_personal_data)
     return {f.__name__: f for f in every}
 
 
