@@ -186,7 +186,8 @@ def verified_links(members: DataFrame, docs: DataFrame, size: int = SHINGLE, lea
         "id", "component", "own",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))).alias("unit"),
     )
-    work = docs.select(F.col("doc_id").alias("id"), "text").join(units, "id").select("component", "unit.i", "unit.j", "own", "id", "text")
+    # a merge join at every size: the members grow with the documents, so a plan that broadcasts them would only hold for small inputs
+    work = docs.select(F.col("doc_id").alias("id"), "text").join(units.hint("merge"), "id").select("component", "unit.i", "unit.j", "own", "id", "text")
     n = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     work = work.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j")
 
