@@ -5,21 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import with_package
+
 #: Rows that Spark hands to a Python worker at once; with long texts its default of 10,000 is hundreds of MB.
 BATCH_ROWS = 1000
 
 
 def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows (texts differ a lot in length, so the bound is low), and let workers on this machine import the
-    package from where the driver did (on a cluster it is installed or shipped)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    """Bound the Arrow batches by rows (texts differ a lot in length, so the bound is low), and let workers import the package."""
+    with_package(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
