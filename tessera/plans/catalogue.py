@@ -22,7 +22,7 @@ from tessera.sources import catalog_csv, generator
 
 PROBE, TOP = 3, 10
 BANDS = (1, 2, 5)
-FILTERS = Filters(price_min=920, price_max=990, in_stock_only=True)
+FILTERS = Filters(price_min=905, price_max=990, in_stock_only=True)
 PROBES = (1, 2, 3, 5, 10)
 
 

@@ -29,7 +29,7 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         "SELECT p_partkey AS id, p_name AS title, p_brand AS brand, p_type AS category, p_retailprice AS price_ron, p_size % 13 <> 0 AS in_stock FROM part WHERE p_partkey IN (SELECT vec_id FROM embeddings)",
     ),
-    "matching": (("products",), "SELECT id FROM products WHERE price_ron >= 920 AND price_ron <= 990 AND in_stock"),
+    "matching": (("products",), "SELECT id FROM products WHERE price_ron >= 905 AND price_ron <= 990 AND in_stock"),
     "spec": (
         ("cents",),
         f"SELECT k, i, sum(v * cos({_PI2} * k * shard_id / n)) AS re, -sum(v * sin({_PI2} * k * shard_id / n)) AS im FROM cents CROSS JOIN (SELECT count(DISTINCT shard_id) AS n FROM cents) CROSS JOIN range(6) t(k) GROUP BY k, i",
