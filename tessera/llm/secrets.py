@@ -53,7 +53,7 @@ ORDINARY_WEIGHT = 20
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 MIN_RUN = 16
-THRESHOLD = 0.5
+THRESHOLD = 3.0
 
 _CODE = np.full(256, -1, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))

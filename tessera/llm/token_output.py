@@ -288,7 +288,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             column = batch.column("doc_id")
             null = np.asarray(column.is_null())
             keys = np.asarray(column.fill_null(0)).astype(np.int64)
-            for lo, hi, data, offsets in textkit.slices(batch.column("text"), 1 << 20):
+            for lo, hi, data, offsets in textkit.slices(batch.column("text"), min(1 << 20, shard_tokens)):  # a text has no more ids than bytes
                 ids, counts = encoder.encode(data, offsets)
                 to = np.cumsum(counts)
                 ids = np.insert(ids, to, end_id)
