@@ -3,7 +3,8 @@
 Each round points every node's larger neighbours, and then its smaller ones, at the smallest node it knows. The number of edges never
 grows, rounds grow with the logarithm of the number of nodes, and only minima are taken per node, so a hub with very
 many neighbours is aggregated before the shuffle and its rows are split by adaptive execution in the joins. Nothing comes to the
-driver but two numbers a round. Each round is written to the shared folder.
+driver but two numbers a round. Each round is written to the shared folder, and so are the minima before they are joined: as a table of their own
+they leave the join two plain exchanges, which is what adaptive execution can split.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
-        large = both.join(smallest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # an edge (u, v) with u > v hangs u under the least neighbour of v; only what stands first in an edge has a smaller one
+        parents = materialise(current.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node"), "parents")
+        hung = current.join(parents, F.col("v") == F.col("node"), "left")
+        large = hung.select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         after = materialise(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "components")
         discard(current)
+        discard(parents)
         current, before, state = after, state, _state(after)
         if state == before:
             break
