@@ -3,10 +3,10 @@
 1. Each document's set of distinct five-word shingles (64-bit hashes) is made in Arrow batches. Documents with equal sets (two 64-bit sums
    over the set and its size) form one class; only its smallest doc_id goes on, so copies cost nothing further.
 2. Two collections, A and B, have SUBKEYS sub-keys each, every one of ROWS minhashes. A table (i, j) is keyed by A_i and B_j together. So
-   64 tables of six rows need 48 minhashes instead of 384. Sets of Jaccard similarity s meet in some table with probability
-   (1 - (1 - s**3)**8)**2: 0.999 at 0.85, 0.9999 at 0.9.
+   144 tables of six rows need 72 minhashes instead of 864. Sets of Jaccard similarity s meet in some table with probability
+   (1 - (1 - s**3)**12)**2: 0.99998 at 0.85 and more above.
    A table key can only be shared if both its sub-keys are. So sub-keys are counted first, and only shared ones of a document are
-   combined: nearly all documents without relatives end there, and the shuffle carries 16 sub-keys a document, not 64 table keys.
+   combined: nearly all documents without relatives end there, and the shuffle carries 24 sub-keys a document, not 144 table keys.
 3. A table key with several documents links each to the smallest (a count of rows that is linear in the bucket). Components of these links
    are the candidate families.
 4. Families are verified exactly, on full sets made from the texts again: every pair in a family, not only those that met. A family
@@ -39,7 +39,7 @@ from tessera.llm.shared import discard, materialise, shuffle_partitions, tune
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (85, 100)
-SUBKEYS = 8
+SUBKEYS = 12
 ROWS = 3
 TILE = 512
 
@@ -121,7 +121,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     """(a, b): documents that share a table key, each linked with the smallest of the key. classes: (id, sub_keys)."""
     each = classes.select("id", F.posexplode("sub_keys").alias("place", "value"))
     shared = each.groupBy("place", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    own = each.join(shared, ["place", "value"]).groupBy("id").agg(F.collect_list(F.struct("place", "value")).alias("keys"))  # 16 at most
+    own = each.join(shared, ["place", "value"]).groupBy("id").agg(F.collect_list(F.struct("place", "value")).alias("keys"))  # 2 * SUBKEYS at most
     side = lambda low: F.filter("keys", lambda k: (k["place"] < SUBKEYS) == F.lit(low))
     tables = own.select("id", F.explode(side(True)).alias("x"), side(False).alias("others")).select("id", "x", F.explode("others").alias("y"))
     keyed = tables.select("id", F.xxhash64("x.place", "x.value", "y.place", "y.value").alias("key"))
@@ -252,7 +252,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] =
     """docs without the rows that are not kept; of rows with equal doc_id in a group one stays."""
     found = materialise(near_duplicates(docs, size, least), "near-duplicates")
     gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # at every size, as above
     if found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
     return out
