@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import materialise
+from tessera.llm.shared import materialise, spans_text
 from tessera.llm.weak_labels import reliabilities
 
 # Fixed values ----------------------------------------------------------------------------------------------------------
@@ -201,14 +201,10 @@ def spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     return with_base.select("doc_id", "base", F.concat(*[kept(k) for k in LOOSE]).alias("added"))
 
 
-def _text_of(column: Column) -> Column:
-    return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-
-
 def digest(found: DataFrame) -> DataFrame:
     """The counts, the hash of the base spans and all spans as text."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
-        "doc_id", *[count(k) for k in BASE], F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"),
-        _text_of(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
+        "doc_id", *[count(k) for k in BASE], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
-from tessera.llm.shared import tune
+from tessera.llm.shared import spans_text, tune
 
 # Fixed values ----------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -235,10 +235,6 @@ def find_secrets(docs: DataFrame, samples: DataFrame | None = None, threshold: f
     return spans(docs, ratio_table(counts), threshold)
 
 
-def _text_of(column):
-    return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
-
-
 def digest(found: DataFrame) -> DataFrame:
     """The counts, the hash of the base spans and all spans as text (by start, then kind)."""
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -248,7 +244,7 @@ def digest(found: DataFrame) -> DataFrame:
         F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(_text_of(F.col("base")), 256).alias("base_sha256"), _text_of(ordered).alias("spans"), F.size("added").cast("long").alias("n_markov"))
+    return found.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(ordered).alias("spans"), F.size("added").cast("long").alias("n_markov"))
 
 
 def reference_digest(text: str | None) -> tuple[int, int, int, str]:

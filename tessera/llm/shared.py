@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.session import with_package
 
@@ -72,3 +73,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
+
+
+def spans_text(spans: Column) -> Column:
+    """kind:start:end of every span, comma-joined."""
+    return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with each span (kind, start, end in code points) replaced by its kind in brackets; what overlaps an earlier span goes with it."""
+    places = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        shown = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, shown).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(places, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def masked_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with the spans of found (doc_id, base, added) masked in their texts. Ids must be unique; texts without spans are not touched."""
+    plain = F.transform("added", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = found.select(F.col("doc_id").alias("masked_id"), F.concat("base", plain).alias("masked_spans")).where(F.size("masked_spans") > 0)
+    joined = docs.join(spans, docs["doc_id"] == spans["masked_id"], "left")
+    new = F.when(F.col("masked_spans").isNotNull(), masked(docs["text"], F.col("masked_spans"))).otherwise(docs["text"])
+    return joined.withColumn("text", new).select(*docs.columns)

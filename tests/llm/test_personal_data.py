@@ -5,6 +5,7 @@ import pytest
 
 from tessera.llm import personal_data
 from tessera.llm.queries import op10_personal_data
+from tessera.llm.shared import masked_documents
 from tessera.llm.weak_labels import reliabilities
 
 PATTERNS = {
@@ -84,3 +85,9 @@ def test_query_against_brute_force(query, spark, small):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = query(spark, small).collect()
     assert len(got) == len(texts) and all(digest(r) == brute(texts[r["doc_id"]]) for r in got)
+
+
+def test_masking(make):
+    docs = make([(1, "é mail a@b.co or +1 (555) 123-4567 4111 1111 1111 1111."), (2, "nothing"), (3, None), (4, "1.2.3.4")])
+    got = {r["doc_id"]: r["text"] for r in masked_documents(docs, personal_data.spans(docs)).collect()}
+    assert got == {1: "é mail [EMAIL] or [PHONE] [CARD].", 2: "nothing", 3: None, 4: "[IP]"}
