@@ -35,8 +35,8 @@ CURVES = 16
 DIMENSIONS = 12
 BITS = 4
 RANGE_ROWS = 1024
-MOST_RANGES = 1 << 14
-SAMPLE = 1 << 17
+MOST_RANGES = 1 << 12
+SAMPLE = 1 << 16
 PROBES = 200
 RECALL = 0.96
 SEED = 7
@@ -194,7 +194,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     """query_id, rank, vec_id and score of the k nearest found of every row that is_query holds for."""
     spark = vectors.sparkSession
     tune(spark)
-    named = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    # floats stay floats while they move, which is exact and half as much; all arithmetic is double
+    kind = "array<float>" if vectors.schema[vector_column].dataType.simpleString() == "array<float>" else "array<double>"
+    named = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast(kind).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     named = named.where("vec_id is not null and vector is not null")
     lengths = named.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
     dimension = lengths["size"] if lengths else 0
@@ -212,7 +214,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
             ids, asked = np.asarray(batch.column("vec_id")), np.asarray(batch.column("is_query").to_numpy(zero_copy_only=False), bool)
             flat = batch.column("vector").flatten()
             x = np.asarray(flat).reshape(len(ids), -1)
-            for curve, place in enumerate(c.places(x, ids)):
+            for curve, place in enumerate(c.places(x.astype(np.float64), ids)):
                 rows = [np.arange(len(ids))]
                 ranges, queries = [place], [np.zeros(len(ids), bool)]
                 q = np.flatnonzero(asked)
@@ -227,7 +229,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
                 vector = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), values)
                 yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(at), curve, np.int32)), "place": pa.array(np.concatenate(ranges).astype(np.int32)), "asks": pa.array(np.concatenate(queries)), "vec_id": pa.array(ids[at]), "vector": vector})
 
-    dealt = rows.mapInArrow(deal, "curve int, place int, asks boolean, vec_id long, vector array<double>")
+    dealt = rows.mapInArrow(deal, f"curve int, place int, asks boolean, vec_id long, vector {kind}")
     parts = max(shuffle_partitions(spark), min(len(curves.bounds) * curves.ranges // 8, 8 * shuffle_partitions(spark)))
     dealt = dealt.repartition(parts, "curve", "place").sortWithinPartitions("curve", "place", "asks")
 
@@ -239,6 +241,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
             if not held:
                 return None
             ids, x, asks = (np.concatenate(v) for v in zip(*held, strict=True))
+            x = x.astype(np.float64)
             if not asks.any() or asks.all():
                 return None
             own, queries = ids[asks], x[asks]
