@@ -88,6 +88,6 @@ def test_query_against_brute_force(query, spark, small):
 
 
 def test_masking(make):
-    docs = make([(1, "é mail a@b.co or +1 (555) 123-4567 4111 1111 1111 1111."), (2, "nothing"), (3, None), (4, "1.2.3.4")])
+    docs = make([(1, "é mail a@b.co or +1 (555) 123-4567, 4111 1111 1111 1111."), (2, "nothing"), (3, None), (4, "1.2.3.4")])
     got = {r["doc_id"]: r["text"] for r in masked_documents(docs, personal_data.spans(docs)).collect()}
-    assert got == {1: "é mail [EMAIL] or [PHONE] [CARD].", 2: "nothing", 3: None, 4: "[IP]"}
+    assert got == {1: "é mail [EMAIL] or [PHONE], [CARD].", 2: "nothing", 3: None, 4: "[IP]"}
