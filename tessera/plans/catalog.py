@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import EmbeddingProvider, create_provider, embed
-from tessera.operators import bounds, search, shards
+from tessera.operators import search, shards
+from tessera.operators.local_index import check_consistency
 from tessera.operators.router import Router, RouterConfig
 from tessera.sources import catalog_csv, files
 
@@ -146,7 +147,9 @@ class Catalog:
         provider = provider or create_provider(manifest["provider"], manifest["dimension"], manifest["model"])
         if provider.provider_id != manifest["provider_id"]:
             raise ValueError(f"the catalog was built with {manifest['provider_id']}")
-        return cls(spark, path, provider, router, manifest)
+        found = cls(spark, path, provider, router, manifest)
+        check_consistency(found.vectors(), router.shards, router.centroids.shape[1])
+        return found
 
     # Tables
 
@@ -185,7 +188,10 @@ class Catalog:
         if strategy not in ("pre", "post"):
             raise ValueError("strategy must be pre or post")
         began = perf_counter()
-        block = queries.orderBy("query_id").toPandas()
+        blocks = list(search.query_blocks(queries))
+        if len(blocks) > 1:
+            raise ValueError(f"a batch of queries may have {search.QUERY_BYTES} bytes; send several")
+        block = blocks[0]
         ids, matrix = block["query_id"].tolist(), np.stack(block["vector"].to_numpy()).astype(float)
         probe = self.router.shards if all_results else probe_shards
         routes = self.router.route(matrix, probe)
@@ -218,25 +224,27 @@ class Catalog:
         return SearchOutcome(results, evidence, strategy, {"routing": routing_ms, "total": (perf_counter() - began) * 1000})
 
     def _evidence(self, ids: list, matrix: np.ndarray, routes, found: DataFrame, k: int) -> DataFrame:
-        """Per query the route, and whether the shards left out can hold nothing better than rank k of the filtered result."""
-        rows, limits = [], []
-        for i, q in enumerate(ids):
-            rows.append((q, [int(s) for s in routes.shard_ids[i]], int(routes.used_band[i]), bool(routes.certified[i]), bool(routes.fallback[i]), routes.modes[i]))
-            norm = 1.0 if self.router.config.normalize else float(np.linalg.norm(matrix[i]))
-            chosen = set(routes.shard_ids[i].tolist())
-            for s in range(self.router.shards):
-                radius = None if self.router.radii is None or np.isnan(self.router.radii[s]) else float(self.router.radii[s])
-                limits.append((q, s, s in chosen, float(routes.upper[i, s]), radius, norm))
-        table = self.spark.createDataFrame(rows, "query_id long, shard_ids array<int>, used_band int, certified boolean, fallback boolean, route_mode string")
-        limits = self.spark.createDataFrame(limits, "query_id long, shard_id int, routed boolean, centre double, radius double, norm double")
-        unit = self.router.config.normalize
-        if self.router.config.metric == "cosine":
-            upper = bounds.ball_bounds(F.col("centre"), F.col("centre"), F.col("radius"), F.col("norm"), unit)[1]
+        """Per query the route, and whether the shards left out can hold nothing better than rank k of the filtered result. What the best vector of a left-out
+        shard could score is a row of numbers on the driver (bounds.ball_bounds in NumPy); only a number a query is joined with the results."""
+        router = self.router
+        skipped = np.ones(routes.upper.shape, bool)
+        np.put_along_axis(skipped, routes.shard_ids, False, axis=1)
+        radii = np.full(router.shards, np.nan) if router.radii is None else router.radii
+        if router.config.metric == "cosine":
+            norms = np.ones(len(ids)) if router.config.normalize else np.linalg.norm(matrix, axis=1)
+            limit = routes.upper + norms[:, None] * radii[None, :]
+            limit = np.clip(limit, -1, 1) if router.config.normalize else limit
         else:
-            upper = F.when(F.col("radius").isNotNull(), F.col("centre"))  # scores are bounds of members already
+            limit = routes.upper + 0 * radii[None, :]  # such scores bound the members already, if the radius is known
+        best = np.where(skipped, limit, -np.inf).max(axis=1)  # NaN if a radius is unknown
+        rows = [
+            (q, [int(s) for s in routes.shard_ids[i]], int(routes.used_band[i]), bool(routes.certified[i]), bool(routes.fallback[i]), routes.modes[i], int(skipped[i].sum()), None if np.isnan(best[i]) else float(best[i]))
+            for i, q in enumerate(ids)
+        ]
+        table = self.spark.createDataFrame(rows, "query_id long, shard_ids array<int>, used_band int, certified boolean, fallback boolean, route_mode string, skipped int, best_skipped double")
         kth = found.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("kth_score"))
-        certificate = bounds.pruning_certificate(limits.withColumn("upper", upper), kth)
-        return table.join(certificate.select("query_id", F.col("certified").alias("vectors_certified")), "query_id", "left")
+        sure = (F.col("skipped") == 0) | F.coalesce(F.col("best_skipped") <= F.col("kth_score"), F.lit(False))
+        return table.join(kth, "query_id", "left").withColumn("vectors_certified", sure).drop("skipped", "best_skipped", "kth_score")
 
     def _rounds(self, units: DataFrame, routed: dict, allowed: DataFrame, k: int, metric: str) -> DataFrame:
         """(query_id, budget_rounds): budgets of 5k, 10k, ... that rank-then-filter needs for k results or all of its shards."""

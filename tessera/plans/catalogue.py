@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.functions.vectors import distance, dot
-from tessera.operators import baselines, bounds, evaluation, ordering, search, shards, spectral
+from tessera.operators import baselines, bounds, evaluation, local_index, ordering, search, shards, spectral
 from tessera.operators.router import Router, RouterConfig
 from tessera.plans import capacity
 from tessera.plans.catalog import Filters, page
@@ -67,8 +67,10 @@ def _pairs(queries: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def _routes(spark: SparkSession, sf_dir: str) -> dict[int, list[int]]:
-    found = exact_route(spark, sf_dir).groupBy("query_id").agg(F.collect_list("shard_id").alias("s")).collect()
-    return {r["query_id"]: r["s"] for r in found}
+    numbers, centers = shards.matrix(_centers(spark, sf_dir), "shard_id", "centroid")
+    ids, asked = shards.matrix(_queries(spark, sf_dir), "query_id", "vector")
+    places = np.argsort(-np.round(asked @ centers.T, 6), axis=1, kind="stable")[:, :PROBE]
+    return {q: [numbers[i] for i in line] for q, line in zip(ids, places, strict=True)}
 
 
 # Search ------------------------------------------------------------------------------------------------------------------
@@ -90,6 +92,10 @@ def exact_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top(scored, PROBE).withColumnRenamed("id", "shard_id")
 
 
+def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_index.lsh_topk(_rows(spark, sf_dir), _queries(spark, sf_dir), TOP)
+
+
 def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.block_topk(_rows(spark, sf_dir), _queries(spark, sf_dir), TOP, routes=_routes(spark, sf_dir))
 
@@ -448,7 +454,7 @@ def streaming_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = (
-    exact_topk, euclidean_topk, exact_route, routed_topk, candidate_counts, recall_precision, calibration_by_probe, filtered_topk_pre, filtered_topk_post, all_results, page_2, product_lookup,
+    exact_topk, euclidean_topk, lsh_topk, exact_route, routed_topk, candidate_counts, recall_precision, calibration_by_probe, filtered_topk_pre, filtered_topk_post, all_results, page_2, product_lookup,
     normalize_rows, shard_centroids, shard_radii, shard_counts, shard_metadata, kmeans_shards, spectrum, residuals, spectral_scores, score_intervals, interval_coverage, certify_topb, adaptive_route,
     route_mode_counts, spectral_energy, ordering_quality, incremental_spectrum, remove_shard, merge_shard, add_shard, split_shard, ball_bounds, angular_bounds, min_distance_bounds, pruning_certificate,
     import_valid, import_rejects, import_report, semantic_text, tokens, ngram_features, hash_embedding, lowrank_route, hierarchical_route, random_route, capacity_estimate, latency_summary,

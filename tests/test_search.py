@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tessera.operators import baselines, bounds, evaluation, search, shards
+from tessera.operators import baselines, bounds, evaluation, local_index, search, shards
+from tessera.sources.config import load_config
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +169,37 @@ def test_baselines(world):
     assert tree.route(q, 4).shape == (6, 4) and tree.memory_bytes > 0
     assert all(len(set(r)) == 4 for r in baselines.random_shards(32, 6, 4))
     assert (baselines.Hierarchical(centers, branching=1).route(q, 4) == true).all()
+
+
+def test_lsh_is_part_of_the_exact_result(world):
+    x, _, rows, q, queries = world
+    got = found(local_index.lsh_topk(rows, queries, 5, tables=16, bucket=2.0))
+    scores = np.round(x @ q.T, 6)
+    assert all(s == pytest.approx(scores[i, k]) for k, line in got.items() for i, s in line)
+    exact = found(search.block_topk(rows, queries, 5))
+    hits = sum(len({i for i, _ in got.get(k, [])} & {i for i, _ in line}) for k, line in exact.items())
+    assert hits >= 24  # of 30
+    assert local_index.chosen_backend("auto", 10**6, 10) == "lsh" and local_index.chosen_backend("auto", 100, 10) == "exact"
+    with pytest.raises(ValueError):
+        local_index.chosen_backend("magic", 1, 1)
+
+
+def test_consistency(world):
+    rows = world[2]
+    local_index.check_consistency(rows, 8, 10)
+    for n, d in ((9, 10), (7, 10), (8, 11)):
+        with pytest.raises(ValueError):
+            local_index.check_consistency(rows, n, d)
+
+
+def test_settings_from_a_file(tmp_path):
+    path = tmp_path / "c.yaml"
+    path.write_text("# settings\nshards: 64\nbands: [1, 2]  # two\nprobe_shards: 4\nmax_attempts: null\nordering: 'identity'\nexact_fallback: false\n")
+    c = load_config(str(path))
+    assert (c.shards, c.bands, c.probe_shards, c.max_attempts, c.ordering, c.exact_fallback) == (64, (1, 2), 4, None, "identity", False)
+    path.write_text("bands:\n  - 4\n  - 8\n")
+    assert load_config(str(path)).bands == (4, 8)
+    for bad in ("unknown: 1\n", "  nested: 1\n"):
+        path.write_text(bad)
+        with pytest.raises(ValueError):
+            load_config(str(path))
