@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Squared norms at or below this count as zero.
@@ -22,9 +22,11 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """v divided by its norm. Filter with is_valid first; a zero vector gives null."""
-    length = norm(v)
-    return F.when(length > EPSILON, F.transform(v, lambda x: x / length))
+    """v divided by its norm. Filter with is_valid first; a zero vector gives null.
+
+    The norm is bound to a lambda variable: written straight into the inner function it would be computed again for every component."""
+    divided = F.transform(F.array(norm(v)), lambda n: F.when(n > EPSILON, F.transform(v, lambda x: x / n)))
+    return F.element_at(divided, 1)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -41,14 +43,9 @@ def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def dimension_of(df: DataFrame, column: str) -> int:
-    """Length of the vectors; mixed lengths are an error."""
-    found = df.select(F.size(column).alias("n")).groupBy("n").count().where("n >= 0").orderBy("n").limit(2).collect()
-    if len(found) != 1:
-        raise ValueError(f"{column} holds vectors of {'no' if not found else 'different'} lengths")
-    return found[0]["n"]
-
+def mean_vector(column: str) -> Column:
+    """Component means as an aggregate: partial sums per task, so a large group shuffles one row a task, and no code is generated per component."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
 
-def mean_vector(column: str, dimension: int) -> Column:
-    """Component means as an aggregate: partial sums per task, so a large group shuffles one row a task."""
-    return F.array(*[F.avg(F.col(column)[i]) for i in range(dimension)])
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(column))))

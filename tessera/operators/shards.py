@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import clip, dimension_of, distance, dot, is_valid, mean_vector, normalized
+from tessera.functions.vectors import clip, distance, dot, is_valid, mean_vector, normalized
 
 #: A matrix of shards or queries that goes to the driver or is broadcast may have so many bytes.
 MATRIX_BYTES = 256 << 20
@@ -25,10 +25,9 @@ def shard_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shard_id").agg(F.count("*").alias("item_count"))
 
 
-def centroids(rows: DataFrame, dimension: int | None = None) -> DataFrame:
+def centroids(rows: DataFrame) -> DataFrame:
     """(shard_id, item_count, centroid): the mean of a shard's vectors, scaled to unit length."""
-    d = dimension or dimension_of(rows, "vector")
-    means = rows.groupBy("shard_id").agg(F.count("*").alias("item_count"), mean_vector("vector", d).alias("mean"))
+    means = rows.groupBy("shard_id").agg(F.count("*").alias("item_count"), mean_vector("vector").alias("mean"))
     return means.select("shard_id", "item_count", normalized(F.col("mean")).alias("centroid"))
 
 
@@ -48,10 +47,12 @@ def shard_table(rows: DataFrame, root: str = "vectors") -> DataFrame:
 
 def matrix(df: DataFrame, key: str, vector: str, limit: int = MATRIX_BYTES) -> tuple[list, np.ndarray]:
     """Keys and vectors on the driver, in key order. Larger tables than the limit are an error, not a risk."""
-    size = df.select(F.sum(F.size(vector))).first()[0] or 0
-    if size * 8 > limit:
-        raise ValueError(f"{size * 8} bytes of vectors are more than the limit of {limit}")
-    found = df.select(key, vector).orderBy(key).collect()
+    first = df.select(F.size(vector)).first()
+    rows = max(1, limit // (8 * max(1, first[0]))) if first else 0
+    found = df.select(key, vector).limit(rows + 1).collect()
+    if len(found) > rows:
+        raise ValueError(f"more than {limit} bytes of vectors")
+    found.sort(key=lambda r: r[0])
     return [r[0] for r in found], np.array([r[1] for r in found], float).reshape(len(found), -1)
 
 

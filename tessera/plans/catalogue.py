@@ -49,7 +49,7 @@ def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.centroids(_rows(spark, sf_dir), 64)
+    return shards.centroids(_rows(spark, sf_dir))
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +160,7 @@ def shard_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shard_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir)
-    return shards.radii(rows, shards.centroids(rows, 64)).select("shard_id", F.round("euclidean_radius", 6).alias("euclidean_radius"), F.round("angular_radius", 6).alias("angular_radius"))
+    return shards.radii(rows, shards.centroids(rows)).select("shard_id", F.round("euclidean_radius", 6).alias("euclidean_radius"), F.round("angular_radius", 6).alias("angular_radius"))
 
 
 def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,7 +304,7 @@ def split_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, shard_id, score, distance, radius, angle) of every query and shard."""
     rows = _rows(spark, sf_dir)
-    centers = shards.centroids(rows, 64)
+    centers = shards.centroids(rows)
     table = centers.join(shards.radii(rows, centers), "shard_id")
     return _queries(spark, sf_dir).crossJoin(table).select(
         "query_id", "shard_id", dot(F.col("vector"), F.col("centroid")).alias("score"), distance(F.col("vector"), F.col("centroid")).alias("distance"), "euclidean_radius", "angular_radius"
