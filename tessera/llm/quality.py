@@ -164,19 +164,23 @@ def vote_patterns(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
                 part = Slice(data, offsets)
                 votes = ["".join(map(str, v)) for v in part.votes().tolist()]
                 places: list = [None] * part.n
-                weights: list = [None] * part.n
                 if picked[lo:hi].any():
-                    text, bucket, weight = part.features()
+                    text, bucket, _ = part.features()
                     for i in np.flatnonzero(picked[lo:hi]):
-                        own = text == i
-                        places[i], weights[i] = bucket[own].tolist(), weight[own].tolist()
-                yield pa.RecordBatch.from_pydict({"votes": votes, "places": pa.array(places, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float64()))})
+                        places[i] = bucket[text == i].astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"votes": votes, "places": pa.array(places, pa.list_(pa.int32()))})
 
     tune(docs.sparkSession)
-    return docs.select("text", chosen.alias("chosen")).mapInArrow(vote, "votes string, places array<int>, weights array<double>")
+    return docs.select("text", chosen.alias("chosen")).mapInArrow(vote, "votes string, places array<int>")
 
 
-def train_scorer(rows: list[tuple[list[int], list[float], float]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
+def sample_weights(places: np.ndarray) -> np.ndarray:
+    """The weights that features() gives to a text's buckets."""
+    words = places < BUCKETS
+    return np.where(words, 1 / np.sqrt(max(1, int(words.sum()))), 1.0)
+
+
+def train_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], rounds: int = 60, rate: float = 0.5, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a logistic model by gradient steps with per-weight rates (Adagrad); rows are (buckets, weights, target)."""
     w, seen = np.zeros(WEIGHTS), np.full(WEIGHTS, 1e-8)
     if not rows:
@@ -201,8 +205,11 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict
     voted = materialise(vote_patterns(docs, train_rows), "quality-votes")
     counts = {r["votes"]: float(r["count"]) for r in voted.groupBy("votes").count().collect()}  # at most 3 ** 8 rows
     post, _, _ = reliabilities(counts, [(0, 1)] * len(LABELERS), silence=False)
-    sample = voted.where("places is not null").collect()  # about train_rows rows
-    return train_scorer([(r["places"], r["weights"], post[r["votes"]]) for r in sample]), post
+    sample = voted.where("places is not null").toArrow()  # about train_rows rows
+    lists = sample["places"].combine_chunks()
+    places = np.split(np.asarray(lists.flatten()), np.asarray(lists.offsets)[1:-1] - np.asarray(lists.offsets)[0]) if len(lists) else []
+    rows = [(p, post[v]) for p, v in zip(places, sample["votes"].to_pylist(), strict=True)]
+    return train_scorer([(places, sample_weights(places), target) for places, target in rows]), post
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, dict[str, float]], threshold: float = THRESHOLD) -> DataFrame:
