@@ -60,13 +60,17 @@ _PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
 
 
+#: Elements nested deeper than this count as part of the one at this depth.
+DEPTH = 100
+
+
 class Node:
-    """A block element: its label, its children by label in order, and its number in document order."""
+    """A block element: its label, its children by label in order, its depth, and its number in document order."""
 
-    __slots__ = ("label", "children", "number")
+    __slots__ = ("label", "children", "depth", "number")
 
-    def __init__(self, label: str):
-        self.label, self.children, self.number = label, {}, 0
+    def __init__(self, label: str, depth: int = 0):
+        self.label, self.children, self.depth, self.number = label, {}, depth, 0
 
     def shape(self) -> list:
         return [self.label, *[c.shape() for c in self.children.values()]]
@@ -92,12 +96,17 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
     """(tree, blocks). A block is (node number, container, text): container 2 in an article, 1 in a main element, 0 elsewhere.
     Blocks inside boilerplate are left out, but their nodes are in the tree."""
     root = Node("#")
-    nodes = [root]
     stack: list[tuple[str, Node, bool, int]] = [("#", root, False, 0)]  # tag, node, skipped, container
     blocks: list[tuple[Node, int, str]] = []
     words: list[str] = []
+    opened: dict[str, int] = {}  # how many elements of each tag are open
     at, n = 0, len(source)
 
+    def leave(k: int) -> None:
+        for tag, *_ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
     def close() -> None:
         if words:
             _, node, _, container = stack[-1]
@@ -118,12 +127,11 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
         if m[1]:
             if tag == "br":
                 words.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if any(s[0] in BLOCKS or s[2] != stack[k - 1][2] for s in stack[k:]):
-                        close()
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
+                if any(stack[j][0] in BLOCKS or stack[j][2] != stack[j - 1][2] for j in range(k, len(stack))):
+                    close()
+                leave(k)
             continue
         if tag in RAW:
             end = _RAW_END[tag].search(source, at)
@@ -141,7 +149,7 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
             for k in range(len(stack) - 1, 0, -1):
                 open_tag = stack[k][0]
                 if open_tag == "p" or (ends and open_tag in ends):
-                    del stack[k:]
+                    leave(k)
                     if not ends:
                         break
                 elif open_tag in SCOPES:
@@ -158,13 +166,14 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
         node = parent
         if tag in BLOCKS:
             label = f"{tag}.{first}" if first else tag
-            node = parent.children.get(label)
-            if node is None:
-                node = parent.children[label] = Node(label)
-                nodes.append(node)
+            if parent.depth < DEPTH:
+                node = parent.children.get(label)
+                if node is None:
+                    node = parent.children[label] = Node(label, parent.depth + 1)
         if m[3].endswith("/") and tag not in BLOCKS:
             continue
         stack.append((tag, node, skips, container))
+        opened[tag] = opened.get(tag, 0) + 1
     close()
 
     count = 0

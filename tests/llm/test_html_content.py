@@ -66,6 +66,13 @@ def test_very_long_page(spark):
     assert texts(pages(spark, [f"<article>{body}</article>"]))[0].count("\n\n") == 29_999
 
 
+def test_deep_nesting_and_stray_tags():
+    deep = "<div><section>" * 20_000 + "x" + "</div></section></b>" * 20_000
+    tree, blocks = h.parse(deep)
+    assert [t for _, _, t in blocks] == ["x"]
+    assert h.simple_tree_matching(tree.shape(), tree.shape())[-1] == (h.DEPTH, h.DEPTH)
+
+
 def test_matching_keeps_order_and_is_largest():
     a = ["r", ["x", ["p"]], ["y"], ["z"]]
     b = ["r", ["y"], ["x", ["p"]], ["z"]]

@@ -44,3 +44,32 @@ def test_stages_against_brute_force(spark, small):
 def test_run_is_the_stages(spark, small):
     a, b = corpus_pipeline.run(spark, small), corpus_pipeline.run(spark, small)
     assert a.exceptAll(b).count() == 0 and a.count() > 0
+
+
+def test_stages_on_odd_documents(spark, small, make, clashing, odd_rows):
+    """Nulls in any column, empty and very long texts, repeated rows, clashing names: no stage fails, and each keeps what it should."""
+    from pyspark.sql import functions as F
+
+    prose = spark.read.parquet(f"{small}/documents.parquet").where("n_chars between 300 and 900").orderBy("doc_id").limit(12).collect()
+    rows = [*odd_rows, *[(1000 + k, r["text"], None if k % 3 else "t") for k, r in enumerate(prose)], (1000, prose[0]["text"], "t")]
+    docs = clashing(make(rows)).withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.when(F.col("doc_id") % 2 == 0, F.col("n_chars"))})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = materialise(stage(spark, docs, small), "odd")
+        if name != "token output":
+            assert docs.columns == columns, name
+        if name == "quality classifier":
+            assert docs.where("trim(coalesce(text, '')) = ''").count() == 0
+        if name == "near-duplicate removal":
+            assert docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+        if name == "benchmark decontamination":
+            assert docs.count() == before
+    assert docs.count() > 0
+
+
+def test_stages_on_nothing(spark, small, make):
+    docs = make([])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, small), "none")
+        assert docs.count() == 0, name
