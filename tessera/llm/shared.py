@@ -24,7 +24,7 @@ def tune(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset (as in tests) a new local one."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
         at = getattr(spark.sparkContext, "_tessera_shared", None)
         if at is None:
