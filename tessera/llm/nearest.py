@@ -36,7 +36,7 @@ DIMENSIONS = 12
 BITS = 4
 RANGE_ROWS = 1024
 MOST_RANGES = 1 << 12
-SAMPLE = 1 << 16
+SAMPLE = 1 << 15
 PROBES = 200
 RECALL = 0.96
 SEED = 7
