@@ -58,3 +58,9 @@ def test_query_is_the_sql(spark, small, duck):
     assert len(frame) == len(got)
     for r in frame.to_dict("records"):
         assert got[r["doc_id"]] == r
+
+
+def test_registered_sql_is_text():
+    from tessera.llm.queries import oracle_sql, queries
+
+    assert set(oracle_sql()) <= set(queries()) and all(isinstance(x, str) for x in oracle_sql().values())
