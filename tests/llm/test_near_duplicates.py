@@ -87,3 +87,11 @@ def test_query_against_brute_force(spark, small):
     rows = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op5_near_duplicates(spark, small).collect()}
     assert got == n.reference_components(rows)
+
+
+def test_the_stage_takes_a_similarity_of_four_fifths(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    want = n.reference_components(rows, least=(80, 100))
+    assert want != n.reference_components(rows, least=(85, 100))
+    assert sorted(r["doc_id"] for r in n.deduplicated(docs).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
