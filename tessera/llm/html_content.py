@@ -49,6 +49,8 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus replies reply share sharing social related recommended widget widgets toolbar pagination pager search login signup skip".split()
 )
+#: A word after one of these tells what a page has, not what the element is: has-sidebar, no-comments.
+STATES = frozenset("has no not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 8
@@ -76,28 +78,39 @@ class Node:
         return [self.label, *[c.shape() for c in self.children.values()]]
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(first class, whether the attributes mark boilerplate)."""
-    first, bad = "", False
+def _names_boilerplate(value: str) -> bool:
+    for name in value.split():
+        parts = [p.lower() for p in _PART.split(name)]
+        if any(p in BOILERPLATE and not (k and parts[k - 1] in STATES) for k, p in enumerate(parts)):
+            return True
+    return False
+
+
+def _attributes(raw: str) -> tuple[str, bool, bool]:
+    """(first class, whether a role or hidden marks boilerplate, whether a word of class or id does)."""
+    first, bad, named = "", False, False
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
         if name == "class" and not first:
             first = value.split()[0] if value.split() else ""
         if name in ("class", "id"):
-            bad = bad or any(p in BOILERPLATE for p in (x.lower() for x in _PART.split(value)))
+            named = named or _names_boilerplate(value)
         elif name == "role":
             bad = bad or value.lower() in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             bad = True
-    return first, bad
+    return first, bad, named
 
 
 def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
     """(tree, blocks). A block is (node number, container, text): container 2 in an article, 1 in a main element, 0 elsewhere.
-    Blocks inside boilerplate are left out, but their nodes are in the tree."""
+    Blocks inside boilerplate are left out, but their nodes are in the tree. Words of class and id do not mark an outer article or main, nor
+    what holds the page's first article or its main; and if they marked all of a page's text, it is kept."""
     root = Node("#")
-    stack: list[tuple[str, Node, bool, int]] = [("#", root, False, 0)]  # tag, node, skipped, container
-    blocks: list[tuple[Node, int, str]] = []
+    stack: list[tuple[str, Node, bool, int, int]] = [("#", root, False, 0, 0)]  # tag, node, skipped, container, innermost named element
+    blocks: list[tuple[Node, int, str, int]] = []
+    around, stays, inner = [0], [True], [False]  # of each named element: the one around it, whether it is kept, whether it is in an article
+    seen = False  # an article that is kept
     words: list[str] = []
     opened: dict[str, int] = {}  # how many elements of each tag are open
     at, n = 0, len(source)
@@ -109,9 +122,9 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
 
     def close() -> None:
         if words:
-            _, node, _, container = stack[-1]
+            _, node, _, container, named = stack[-1]
             if text := " ".join(entities.unescape("".join(words)).split()):
-                blocks.append((node, container, text))
+                blocks.append((node, container, text, named))
             words.clear()
 
     while at < n:
@@ -129,7 +142,7 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                 words.append(" ")
             if opened.get(tag):
                 k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
-                if any(stack[j][0] in BLOCKS or stack[j][2] != stack[j - 1][2] for j in range(k, len(stack))):
+                if any(stack[j][0] in BLOCKS or stack[j][2] != stack[j - 1][2] or stack[j][4] != stack[j - 1][4] for j in range(k, len(stack))):
                     close()
                 leave(k)
             continue
@@ -154,15 +167,29 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                         break
                 elif open_tag in SCOPES:
                     break
-        _, parent, skipped, container = stack[-1]
-        first, bad = _attributes(m[3]) if m[3] else ("", False)
+        _, parent, skipped, container, mark = stack[-1]
+        first, bad, named = _attributes(m[3]) if m[3] else ("", False, False)
+        is_main = tag == "main" or (container == 0 and 'role="main"' in m[3])
+        named = named and not is_main and tag not in ("html", "body") and not (tag == "article" and container < 2)
+        inside_article = container == 2
         if tag == "article":
             container = 2
-        elif tag == "main" or (container == 0 and 'role="main"' in m[3]):
+        elif is_main:
             container = max(container, 1)
         skips = skipped or tag in SKIPPED or (bad and tag not in ("html", "body", "main"))
-        if skips and not skipped:
+        if (skips or named) and not skipped:
             close()
+        if named and not skips:
+            around.append(mark)
+            stays.append(False)
+            inner.append(inside_article)
+            mark = len(around) - 1
+        elif (is_main or tag == "article") and not skips and not (tag == "article" and seen):
+            k = mark
+            while not stays[k] and not inner[k]:
+                stays[k] = True
+                k = around[k]
+            seen = seen or (tag == "article" and stays[k])
         node = parent
         if tag in BLOCKS:
             label = f"{tag}.{first}" if first else tag
@@ -172,7 +199,7 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                     node = parent.children[label] = Node(label, parent.depth + 1)
         if m[3].endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, node, skips, container))
+        stack.append((tag, node, skips, container, mark))
         opened[tag] = opened.get(tag, 0) + 1
     close()
 
@@ -186,7 +213,10 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
             number(c)
 
     number(root)
-    return root, [(node.number, container, text) for node, container, text in blocks]
+    for k in range(1, len(stays)):
+        stays[k] = stays[k] and stays[around[k]]
+    kept = [b for b in blocks if stays[b[3]]] or blocks
+    return root, [(node.number, container, text) for node, container, text, _ in kept]
 
 
 def simple_tree_matching(a: list, b: list) -> list[tuple[int, int]]:

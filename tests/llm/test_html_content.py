@@ -90,3 +90,18 @@ def test_query_against_a_plain_reading(spark, small):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{small}/pages.parquet").collect()}
     got = op9_html_content(spark, small).collect()
     assert {r["page_id"]: r["text"] for r in got} == {i: plain(x) for i, x in rows.items()} and all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<article class='post has-sidebar'><p>yes</p></article><p>no", "yes"), ("<article id='social-housing'><p>yes</p></article>", "yes"), ("<div id=page class='no-comments'><article>yes</article></div><div>no</div>", "yes"),
+        ("<div class=widget><div class=related><main><p>yes</p></main></div><p>no</p></div>", "yes"), ("<div id=social-page><article>yes<div class=share>no</div></article><div class=comments><article>no</article></div></div>", "yes"),
+        ("<article>yes</article><section id=comments><article class=comment>no</article></section>", "yes"), ("<div class='content has-sidebar'><p>yes</p></div><div class=sidebar>no</div>", "yes"), ("<div class=search><p>all there is</p></div>", "all there is"),
+        ("<div class=widget role=\"main\"><p>yes</p></div><p>no</p>", "yes"), ("<nav><div class=menu><article>no</article></div></nav><p>yes</p>", "yes"),
+    ],
+)
+def test_words_do_not_take_the_main_text(source, want):
+    blocks = h.parse(source)[1]
+    best = max(c for _, c, _ in blocks)
+    assert "\n\n".join(t for _, c, t in blocks if c == best) == want
