@@ -11,7 +11,7 @@
    the template's texts. A page without such an element gives its varying blocks.
 
 Inside an article a text must be in TEMPLATE_SHARE of at least TEMPLATE_PAGES distinct pages to be template, as articles may well share passages;
-elsewhere LOOSE_SHARE of LOOSE_PAGES are enough. If all of a page's text were template, it is kept.
+elsewhere LOOSE_SHARE of LOOSE_PAGES are enough for a text of at most LOOSE_CHARS. If all of a page's text were template, it is kept.
 
 Scale: a host's pages never meet in a task. Reference trees and templates are a row per host, joined to the pages by host; Spark broadcasts them
 only when their written size is below the session's threshold, and otherwise splits the popular hosts' rows. Counts are aggregated
@@ -55,6 +55,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 8
 LOOSE_SHARE, LOOSE_PAGES = 0.5, 3
+#: A longer text is a passage, and the strict figures hold for it everywhere.
+LOOSE_CHARS = 80
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
@@ -298,12 +300,12 @@ def _place(b):
 
 def templates(aligned: DataFrame) -> DataFrame:
     """(host, constant): hashes of (slot, container, text) that are the host's template."""
-    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), F.transform("blocks", lambda b: F.struct(_place(b).alias("h"), (b["container"] > 0).alias("inside"))).alias("places"))
+    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), F.transform("blocks", lambda b: F.struct(_place(b).alias("h"), ((b["container"] > 0) | (F.length(b["text"]) > LOOSE_CHARS)).alias("strict"))).alias("places"))
     distinct = hashed.groupBy("host", "article").agg(F.any_value("places").alias("places"))
     pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     each = distinct.select("host", F.explode(F.array_distinct("places")).alias("p"))
-    counts = each.groupBy("host", "p.h", "p.inside").agg(F.count("*").alias("n")).where(F.col("n") >= LOOSE_PAGES)
-    share, least = F.when(F.col("inside"), TEMPLATE_SHARE).otherwise(LOOSE_SHARE), F.when(F.col("inside"), TEMPLATE_PAGES).otherwise(LOOSE_PAGES)
+    counts = each.groupBy("host", "p.h", "p.strict").agg(F.count("*").alias("n")).where(F.col("n") >= LOOSE_PAGES)
+    share, least = F.when(F.col("strict"), TEMPLATE_SHARE).otherwise(LOOSE_SHARE), F.when(F.col("strict"), TEMPLATE_PAGES).otherwise(LOOSE_PAGES)
     constant = counts.join(pages, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least))
     return constant.groupBy("host").agg(F.collect_set("h").alias("constant"))  # at most a page's blocks / LOOSE_SHARE
 

@@ -105,3 +105,9 @@ def test_words_do_not_take_the_main_text(source, want):
     blocks = h.parse(source)[1]
     best = max(c for _, c, _ in blocks)
     assert "\n\n".join(t for _, c, t in blocks if c == best) == want
+
+
+def test_long_passages_that_few_pages_share_stay(spark):
+    passage = "A paragraph that some of the pages share, and that is far too long to be an entry of a menu or a button."
+    rows = [PAGE.format(i=i, main=f"<div><p>Share this page</p><p>Story {i}</p>{f'<p>{passage}</p>' if i % 2 else ''}</div>") for i in range(6)]
+    assert texts(pages(spark, rows)) == {i: f"Story {i}" + (f"\n\n{passage}" if i % 2 else "") for i in range(6)}
