@@ -383,15 +383,28 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _table(spark, sf_dir, "benchmark").select(F.explode(text.ngram_features(text.tokens(F.col("text")))).alias("f"))
+def _feature_counts(texts: DataFrame) -> DataFrame:
+    each = texts.select(F.explode(text.ngram_features(text.tokens(F.col("text")))).alias("f"))
     return each.groupBy(F.col("f.feature").alias("feature")).agg(F.count("*").alias("n"), F.round(F.sum("f.weight"), 6).alias("weight"))
 
 
+def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feature_counts(_table(spark, sf_dir, "benchmark"))
+
+
+def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The features of the whole corpus, folded as for the embedding; counts are added up in each task before they are shuffled."""
+    return _feature_counts(_table(spark, sf_dir, "documents").select(text.fold_column(F.col("text")).alias("text")))
+
+
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.embed(_table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", text.HashProvider(64)).select("item_id", "embedding")
 
 
+def document_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.embed(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", text.HashProvider(64)).select("doc_id", "embedding")
+
+
 # Baselines, models, generator --------------------------------------------------------------------------------------------------
 
 
@@ -457,7 +470,7 @@ _REGISTERED = (
     exact_topk, euclidean_topk, lsh_topk, exact_route, routed_topk, candidate_counts, recall_precision, calibration_by_probe, filtered_topk_pre, filtered_topk_post, all_results, page_2, product_lookup,
     normalize_rows, shard_centroids, shard_radii, shard_counts, shard_metadata, kmeans_shards, spectrum, residuals, spectral_scores, score_intervals, interval_coverage, certify_topb, adaptive_route,
     route_mode_counts, spectral_energy, ordering_quality, incremental_spectrum, remove_shard, merge_shard, add_shard, split_shard, ball_bounds, angular_bounds, min_distance_bounds, pruning_certificate,
-    import_valid, import_rejects, import_report, semantic_text, tokens, ngram_features, hash_embedding, lowrank_route, hierarchical_route, random_route, capacity_estimate, latency_summary,
+    import_valid, import_rejects, import_report, semantic_text, tokens, ngram_features, document_features, hash_embedding, document_embedding, lowrank_route, hierarchical_route, random_route, capacity_estimate, latency_summary,
     synthetic_catalog, category_balance, constraint_checks, streaming_shard_counts,
 )
 

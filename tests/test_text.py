@@ -69,3 +69,23 @@ def test_embed(spark):
 def test_fold(spark):
     df = spark.createDataFrame([("Ștefan ÎNGER ß",), (None,)], "t string")
     assert [r[0] for r in df.select(text.fold_column(df["t"])).collect()] == ["stefan inger ss", None]
+
+
+def test_queries_over_the_documents_against_brute_force(spark, small):
+    from collections import Counter
+
+    from tessera.plans import catalogue
+
+    p = text.HashProvider(64)
+    rows = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    counts, weights = Counter(), {}
+    for t in rows.values():
+        for feature, weight in p.features(t):
+            counts[feature] += 1
+            weights[feature] = weight
+    found = {r["feature"]: (r["n"], r["weight"]) for r in catalogue.queries()["document_features"](spark, small).collect()}
+    assert {f: n for f, (n, _) in found.items()} == counts
+    assert all(abs(w - n * weights[f]) < 1e-5 for f, (n, w) in found.items())
+    got = {r["doc_id"]: r["embedding"] for r in catalogue.queries()["document_embedding"](spark, small).collect()}
+    assert got.keys() == rows.keys()
+    assert all(np.allclose(got[i], p.encode_texts([t])[0]) for i, t in rows.items())
