@@ -1,15 +1,24 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Model. A token's probability is P(class | context) * P(token | class). Classes are CLASSES groups of words by a hash of their last two
-bytes (endings, which tell languages and sentence places apart); the end token is a class of its own. P(class | context) is a softmax over hashed
-features of the two tokens before: the n-gram feature (a hash of the last token), the skip feature (the class of the token before it), and a hash
-of the two together. P(token | class) is smoothed with `alpha` for each known token and once for all unknown ones. So the
-probabilities of all tokens add up to one in every context.
-
-Training. Contexts with equal features have equal gradients, so all training tokens are first counted by (context, class): at most
-CONTEXTS * CLASSES cells whatever the corpus, added up in every task before they are shuffled. Each gradient round is then a Spark job over the
-partitions of these cells, whose partial gradients and curvatures are added to the weights on the driver. All training
-documents take part; nothing is sampled.
+Model. A token's probability is P(class | context) * P(token | class, context); both factors are trained maximum-entropy models with n-gram and
+skip features. Classes are CLASSES groups of words by a hash of their last two bytes (endings, which tell languages and sentence places apart); the
+end token is a class of its own.
+
+- P(class | context) is a softmax over hashed features of the two tokens before: the n-gram feature (a hash of the last token), the skip
+  feature (the class of the token before it), and the two together.
+- P(token | class, context) = u(token) * exp(w[n-gram, token] + w[skip, token]) / Z(class, context). u is the token's smoothed share of
+  its class (`alpha` for each known token and once for all unknown ones, which have no weights). The weights belong to hashed pairs of a
+  context feature and a token: tokens of a class that share a bucket (BUCKETS a class) share their weights. So Z needs
+  the summed u of each bucket only, is exact over the whole vocabulary, and is a matrix product.
+
+The probabilities of all tokens add up to one in every context.
+
+Training. Contexts with equal features have equal gradients, so all training tokens are first counted by (context, class) and by hashed pair:
+CONTEXTS * CLASSES + CLASSES * BUCKETS cells at most whatever the corpus, added up in every task before they are shuffled. Each gradient
+round is then a Spark job. For the classes its tasks hold ranges of contexts, and a feature of the last token is touched by one task
+only, so tasks return sparse rows whose sum is one matrix, however many tasks there are. For the tokens a task holds whole classes, computes their
+normalisers and expected feature counts, and returns these. Rates of the second are those of iterative scaling (half the log ratio of the observed
+and the expected count, as two features are active), under which the likelihood never falls. All training documents take part; nothing is sampled.
 
 Counts of tokens. A first pass gives each partition's distinct words with their numbers in training documents. A window over equal words (a
 row per partition at most, so no word is hot) adds them up, and the sums return to the partitions that asked, as one sorted file each in
@@ -27,13 +36,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit
@@ -42,12 +51,18 @@ from tessera.llm.shared import materialise, scratch, shuffle_partitions, tune
 CLASSES = 32
 LAST = 1 << 10  # buckets of the last token
 CONTEXTS = LAST * CLASSES
-PAIRS = 1 << 12  # buckets of last token and class before it
-FEATURES = 1 + LAST + CLASSES + PAIRS
+CELLS = CONTEXTS * CLASSES
+SPLITS = 4  # buckets of the class before it, for each bucket of the last token
+FEATURES = 1 + CLASSES + LAST + LAST * SPLITS
+BUCKETS = 1 << 13  # buckets of tokens in a class, and weights of a class
+NEAR = 1 << 8  # buckets of the last token for the weights of tokens
 ALPHA = 0.1
 ROUNDS = 10
+WORD_ROUNDS = 6
 RIDGE = 1.0
-#: Contexts are dealt to so many tasks in a gradient round.
+#: Added to observed and expected counts of a token's feature: how many observations a weight needs.
+PRIOR = 2.0
+#: Contexts, and classes, are dealt to so many tasks in a gradient round.
 GRADIENT_TASKS = 8
 
 _SPACE = textkit.space_words()
@@ -63,10 +78,22 @@ def classes_of(w: textkit.Words) -> np.ndarray:
 
 
 def feature_places() -> np.ndarray:
-    """(CONTEXTS, 4) the features of each context: bias, last token, class before it, both."""
+    """(CONTEXTS, 4) the features of each context: bias, class before the last token, last token, both. The last two belong to one last token each."""
     context = np.arange(CONTEXTS)
-    pair = (textkit.mix(context.astype(np.uint64) + np.uint64(99)) % np.uint64(PAIRS)).astype(np.int64)
-    return np.stack([np.zeros(CONTEXTS, np.int64), 1 + context // CLASSES, 1 + LAST + context % CLASSES, 1 + LAST + CLASSES + pair], axis=1)
+    last, before = context // CLASSES, context % CLASSES
+    pair = last * SPLITS + (textkit.mix(before.astype(np.uint64) + np.uint64(99)) % np.uint64(SPLITS)).astype(np.int64)
+    return np.stack([np.zeros(CONTEXTS, np.int64), 1 + before, 1 + CLASSES + last, 1 + CLASSES + LAST + pair], axis=1)
+
+
+#: What a context feature adds (by exclusive or) to a token's bucket to give the pair's weight.
+_KEYS = np.random.default_rng(20240611).permutation(BUCKETS)[: NEAR + CLASSES].astype(np.int64)
+
+
+def pair_places(hashes: np.ndarray, classes: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of each token's n-gram pair and skip pair."""
+    bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
+    base = classes * BUCKETS
+    return base + (_KEYS[(context // CLASSES) % NEAR] ^ bucket), base + (_KEYS[NEAR + context % CLASSES] ^ bucket)
 
 
 def tokens_of(w: textkit.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,18 +176,27 @@ def word_totals(words: DataFrame) -> DataFrame:
     return words.select("part", "word", "kind", F.sum("n").over(own).alias("c"), first.alias("is_first"))
 
 
-def class_totals(totals: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray]:
-    """(training tokens, distinct training tokens) of each class."""
-    tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    known = totals.where("is_first and c > 0").groupBy("kind").agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    for r in known.collect():  # CLASSES rows
-        tokens[r["kind"]], distinct[r["kind"]] = r["n"], r["v"]
+def class_totals(totals: DataFrame, ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(training tokens, distinct training tokens) of each class, and (CLASSES, BUCKETS, 2) the same of each bucket."""
+    bucket = F.col("word").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("bucket")
+    known = totals.where("is_first and c > 0").groupBy("kind", bucket).agg(F.sum("c").alias("n"), F.count("*").alias("v"))
+    found = known.toArrow()  # CLASSES * BUCKETS rows at most
+    buckets = np.zeros((CLASSES, BUCKETS, 2))
+    place = np.asarray(found["kind"]), np.asarray(found["bucket"])
+    buckets[*place, 0], buckets[*place, 1] = np.asarray(found["n"]), np.asarray(found["v"])
+    tokens, distinct = buckets.sum(axis=1).astype(np.int64).T
     tokens[0], distinct[0] = ends, int(ends > 0)
-    return tokens, distinct
+    return tokens, distinct, buckets
+
+
+def class_sizes(tokens: np.ndarray, distinct: np.ndarray, alpha: float) -> np.ndarray:
+    """What a known token's count plus alpha is divided by to give its share u of its class; nothing but the end is in class 0."""
+    kinds = np.arange(CLASSES)
+    return tokens + alpha * np.maximum(distinct, kinds == 0) + np.where(kinds == 0, 0.0, alpha)
 
 
-def write_lookups(totals: DataFrame, folder: str) -> None:
-    """A file per partition: its words, ascending, and their counts."""
+def write_lookups(totals: DataFrame, folder: str, parts: int) -> None:
+    """A file per partition (of which there are `parts`): its words, ascending, and their counts."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -194,67 +230,89 @@ def write_lookups(totals: DataFrame, folder: str) -> None:
             done += 1
         yield pa.RecordBatch.from_pydict({"files": pa.array([done], pa.int64())})
 
-    spark = totals.sparkSession
-    dealt = totals.select("part", "word", "c").repartition(shuffle_partitions(spark), "part").sortWithinPartitions("part")
+    n = max(shuffle_partitions(totals.sparkSession), parts)
+    dealt = totals.select("part", "word", "c").repartition(n, "part").sortWithinPartitions("part")
     dealt.mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
-def context_cells(rows: DataFrame) -> DataFrame:
-    """(context, kind, n) over all training tokens: CONTEXTS * CLASSES rows at most."""
+def feature_cells(rows: DataFrame) -> DataFrame:
+    """(cell, n) over all training tokens: cells of (context, class) first, then those of the hashed pairs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS * CLASSES, np.int64)
+        total = np.zeros(CELLS + CLASSES * BUCKETS, np.int64)
         for batch in batches:
             out = _held(batch)
             for lo, hi, data, offsets in textkit.slices(batch.column("text")):
-                _, classes, context, first = tokens_of(textkit.words_of(data, offsets, _SPACE))
+                hashes, classes, context, first = tokens_of(textkit.words_of(data, offsets, _SPACE))
                 trained = np.repeat(~out[lo:hi], np.diff(first))
-                cells = context[trained] * CLASSES + classes[trained]
-                total += np.bincount(cells, minlength=len(total))
+                hashes, classes, context = hashes[trained], classes[trained], context[trained]
+                total[:CELLS] += np.bincount(context * CLASSES + classes, minlength=CELLS)
+                for place in pair_places(hashes, classes, context):
+                    total[CELLS:] += np.bincount(place, minlength=CLASSES * BUCKETS)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 50_000):
             part = at[a : a + 50_000]
-            yield pa.RecordBatch.from_pydict({"context": pa.array((part // CLASSES).astype(np.int32)), "kind": pa.array((part % CLASSES).astype(np.int32)), "n": pa.array(total[part])})
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(part.astype(np.int32)), "n": pa.array(total[part])})
+
+    return rows.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
 
-    return rows.mapInArrow(count, "context int, kind int, n long").groupBy("context", "kind").agg(F.sum("n").alias("n"))
+def _dense(cells: DataFrame, size: int) -> np.ndarray:
+    """A vector from rows (cell, n), of which there are `size` at most."""
+    found = cells.toArrow()
+    out = np.zeros(size)
+    out[np.asarray(found["cell"])] = np.asarray(found["n"])
+    return out
 
 
 def class_chances(weights: np.ndarray, contexts: np.ndarray, places: np.ndarray) -> np.ndarray:
     """log P(class | context) for rows of contexts."""
-    z = weights[places[contexts]].sum(axis=1)
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    out = np.empty((len(contexts), CLASSES))
+    for a in range(0, len(contexts), 4096):
+        z = weights[places[contexts[a : a + 4096]]].sum(axis=1)
+        z -= z.max(axis=1, keepdims=True)
+        out[a : a + 4096] = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return out
 
 
-def train(cells: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[np.ndarray, list[float]]:
-    """(weights, best mean log-likelihood a token before each round): each round is a job that adds up gradients and curvatures over the cells."""
+_GRADIENT = "feature int, g binary, h binary, likelihood double, tokens long"
+
+
+def train_classes(cells: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple[np.ndarray, list[float]]:
+    """(weights, best mean log-likelihood a token before each round) from rows (cell, n): each round is a job over the cells."""
     spark = cells.sparkSession
-    dealt = materialise(cells.repartition(GRADIENT_TASKS, "context"), "context-cells")
+    # a task has a range of last tokens, so features of the last token come from one task
+    dealt = materialise(cells.where(F.col("cell") < CELLS).repartitionByRange(GRADIENT_TASKS, "cell"), "context-cells").coalesce(GRADIENT_TASKS)
     weights, history, pace, before = np.zeros((FEATURES, CLASSES)), [], 1.0, None
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(weights)
 
-        def gradient(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def gradient(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            found = [(np.asarray(b.column("cell")), np.asarray(b.column("n"))) for b in batches if b.num_rows]
+            if not found:
+                return
             w, places = sent.value, feature_places()
-            g, h, likelihood, tokens = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES)), 0.0, 0
-            found = [f for f in frames if len(f)]
-            if found:
-                frame = pd.concat(found)
-                contexts, row = np.unique(frame["context"].to_numpy(), return_inverse=True)
-                n = np.zeros((len(contexts), CLASSES))
-                n[row, frame["kind"].to_numpy()] = frame["n"].to_numpy()
-                logs = class_chances(w, contexts, places)
-                p, size = np.exp(logs), n.sum(axis=1, keepdims=True)
-                likelihood, tokens = float((n * logs).sum()), int(size.sum())
-                for k in range(places.shape[1]):
-                    np.add.at(g, places[contexts, k], n - size * p)
-                    np.add.at(h, places[contexts, k], size * p * (1 - p))
-            yield pd.DataFrame({"g": [g.tobytes()], "h": [h.tobytes()], "likelihood": [likelihood], "tokens": [tokens]})
-
-        parts = dealt.mapInPandas(gradient, "g binary, h binary, likelihood double, tokens long").collect()  # a row per task, of fixed size
-        g = sum(np.frombuffer(r["g"]).reshape(FEATURES, CLASSES) for r in parts)
-        h = sum(np.frombuffer(r["h"]).reshape(FEATURES, CLASSES) for r in parts)
-        history.append(sum(r["likelihood"] for r in parts) / max(1, sum(r["tokens"] for r in parts)))
+            cell, count = (np.concatenate(x) for x in zip(*found, strict=True))
+            contexts, row = np.unique(cell // CLASSES, return_inverse=True)
+            n = np.zeros((len(contexts), CLASSES))
+            n[row, cell % CLASSES] = count
+            logs = class_chances(w, contexts, places)
+            p, size = np.exp(logs), n.sum(axis=1, keepdims=True)
+            g, h = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES))
+            for k in range(places.shape[1]):
+                np.add.at(g, places[contexts, k], n - size * p)
+                np.add.at(h, places[contexts, k], size * p * (1 - p))
+            own = np.unique(places[contexts])
+            likelihood, tokens = np.zeros(len(own)), np.zeros(len(own), np.int64)
+            likelihood[0], tokens[0] = (n * logs).sum(), size.sum()
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(own.astype(np.int32)), "g": [x.tobytes() for x in g[own]], "h": [x.tobytes() for x in h[own]], "likelihood": likelihood, "tokens": tokens})
+
+        # FEATURES rows, and one more a task for each feature that tasks share: of fixed size, whatever the corpus
+        parts = dealt.mapInArrow(gradient, _GRADIENT).toArrow()
+        g, h = np.zeros((FEATURES, CLASSES)), np.zeros((FEATURES, CLASSES))
+        for x, column in ((g, "g"), (h, "h")):
+            np.add.at(x, np.asarray(parts["feature"]), np.frombuffer(b"".join(parts[column].to_pylist())).reshape(-1, CLASSES))
+        history.append(np.asarray(parts["likelihood"]).sum() / max(1, np.asarray(parts["tokens"]).sum()))
         sent.unpersist()
         if before is not None and history[-1] < max(history[:-1]):
             weights, g, h = before  # too far: go back and take half the step
@@ -262,21 +320,82 @@ def train(cells: DataFrame, rounds: int = ROUNDS, ridge: float = RIDGE) -> tuple
             history[-1] = max(history[:-1])
         before = (weights, g, h)
         # a context's features move together, so each takes its share of a Newton step, and none moves by more than 1
-        weights = weights + np.clip(pace * (g - ridge * weights) / (feature_places().shape[1] * (h + ridge)), -1, 1)
+        weights = weights + np.clip(pace * (g - ridge * weights) / (4 * (h + ridge)), -1, 1)
     return weights, history
 
 
-def score(rows: DataFrame, folder: str, weights: np.ndarray, tokens: np.ndarray, distinct: np.ndarray, alpha: float = ALPHA) -> DataFrame:
+def normaliser(weights: np.ndarray, mass: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """(Z, expected counts of the weights) of a class. weights and mass (the summed u) are by bucket; n: tokens of the class by (n-gram, skip)."""
+    tilt = np.exp(weights)
+    bucket = np.flatnonzero(mass)
+    place, skip = _KEYS[:NEAR, None] ^ bucket[None, :], _KEYS[NEAR:, None] ^ bucket[None, :]
+    near, far = tilt[place] * mass[bucket], tilt[skip]
+    z = (1 - mass.sum()) + near @ far.T
+    if n is None:
+        return z, None
+    ratio = n / z
+    expected = np.bincount(place.reshape(-1), weights=(near * (ratio @ far)).reshape(-1), minlength=BUCKETS)
+    expected += np.bincount(skip.reshape(-1), weights=(far * (ratio.T @ near)).reshape(-1), minlength=BUCKETS)
+    return z, expected
+
+
+def train_words(spark: SparkSession, cells: np.ndarray, pairs: np.ndarray, mass: np.ndarray, rounds: int = WORD_ROUNDS, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(weights by class and bucket, Z by class, n-gram and skip bucket, mean log-likelihood a token above that of u before each round).
+    Each round is a job over the classes; cells, pairs and mass are of fixed size."""
+    n = cells.reshape(LAST // NEAR, NEAR, CLASSES, CLASSES).sum(axis=0)  # n-gram, skip, class
+    observed, weights, history = pairs.reshape(CLASSES, BUCKETS), np.zeros((CLASSES, BUCKETS)), []
+    fixed = spark.sparkContext.broadcast((mass, n))
+    total = max(1.0, n.sum())
+    classes = spark.range(1, CLASSES, 1, GRADIENT_TASKS)
+    while True:
+        last = len(history) == rounds
+        sent = spark.sparkContext.broadcast(weights)
+
+        def step(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
+            w, (u, count) = sent.value, fixed.value
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    z, expected = normaliser(w[k], u[k], None if last else count[:, :, k])
+                    yield pa.RecordBatch.from_pydict({"kind": pa.array([k], pa.int32()), "z": [z.tobytes()], "expected": [b"" if last else expected.tobytes()]})
+
+        z, expected = np.ones((CLASSES, NEAR, CLASSES)), np.zeros((CLASSES, BUCKETS))
+        for r in classes.mapInArrow(step, "kind int, z binary, expected binary").toArrow().to_pylist():  # CLASSES rows of 128 KB
+            z[r["kind"]] = np.frombuffer(r["z"]).reshape(NEAR, CLASSES)
+            if not last:
+                expected[r["kind"]] = np.frombuffer(r["expected"])
+        sent.unpersist()
+        if last:
+            return weights, z, history
+        history.append(float((observed * weights).sum() - (np.moveaxis(n, 2, 0) * np.log(z)).sum()) / total)
+        weights = weights + 0.5 * np.log((observed + prior) / (expected + prior))
+
+
+@dataclass
+class Model:
+    """What scoring needs, all of fixed size: log10 P(class | context), token weights and log10 Z, and the totals of the training tokens."""
+
+    classes: np.ndarray
+    words: np.ndarray
+    z: np.ndarray
+    tokens: np.ndarray
+    distinct: np.ndarray
+
+    def log10(self, hashes: np.ndarray, classes: np.ndarray, context: np.ndarray, c: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+        """log10 P of each token; c is its count in training tokens."""
+        one, two = pair_places(hashes, classes, context)
+        tilt = np.where((c > 0) & (classes > 0), self.words[one].astype(np.float64) + self.words[two], 0.0)
+        share = np.log10((c + alpha) / class_sizes(self.tokens, self.distinct, alpha)[classes])
+        near, skip = (context // CLASSES) % NEAR, context % CLASSES
+        return self.classes[context, classes].astype(np.float64) + share + tilt - self.z[classes, near, skip]
+
+
+def score(rows: DataFrame, folder: str, model: Model, alpha: float = ALPHA) -> DataFrame:
     """One row per document; the lookup files of folder belong to the partitions of rows."""
-    spark = rows.sparkSession
-    logs = class_chances(weights, np.arange(CONTEXTS), feature_places()) / np.log(10)
-    sent = spark.sparkContext.broadcast(logs.astype(np.float32))
-    total, vocabulary, ends = int(tokens.sum()), int(distinct.sum()), int(tokens[0])
-    unknown = np.where(np.arange(CLASSES) == 0, 0.0, alpha)  # nothing but the end is in its class
-    within = tokens + alpha * np.maximum(distinct, np.arange(CLASSES) == 0) + unknown
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    total, vocabulary, ends = int(model.tokens.sum()), int(model.distinct.sum()), int(model.tokens[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        model = sent.value
         known, count = None, None
         for batch in batches:
             out = _held(batch)
@@ -298,7 +417,7 @@ def score(rows: DataFrame, folder: str, weights: np.ndarray, tokens: np.ndarray,
                         raise RuntimeError("a partition holds words that it did not hold when they were counted")
                     c[word] = count[at][inverse]
                 base_logs = np.log10((c + alpha) / (total + alpha * (vocabulary + 1)))
-                own = table[context, classes].astype(np.float64) + np.log10((c + alpha) / within[classes])
+                own = model.log10(hashes, classes, context, c, alpha)
                 sums = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else np.zeros(0)  # noqa: E731  every text has an end
                 parts.append((np.diff(first), sums((c > 0).astype(np.int64)), sums(base_logs), sums(own)))
             size, seen, base_score, own_score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 4
@@ -312,18 +431,28 @@ def score(rows: DataFrame, folder: str, weights: np.ndarray, tokens: np.ndarray,
     return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def language_scores(docs: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
+def trained(rows: DataFrame, totals: DataFrame, ends: int, rounds: int = ROUNDS, word_rounds: int = WORD_ROUNDS, alpha: float = ALPHA) -> Model:
+    """Both factors, from the counts of training tokens."""
+    tokens, distinct, buckets = class_totals(totals, ends)
+    mass = (buckets[:, :, 0] + alpha * buckets[:, :, 1]) / class_sizes(tokens, distinct, alpha)[:, None]
+    cells = materialise(feature_cells(rows), "feature-cells")
+    weights, _ = train_classes(cells, rounds)
+    counts = _dense(cells, CELLS + CLASSES * BUCKETS)
+    words, z, _ = train_words(rows.sparkSession, counts[:CELLS], counts[CELLS:], mass, word_rounds)
+    logs = class_chances(weights, np.arange(CONTEXTS), feature_places()) / np.log(10)
+    return Model(logs.astype(np.float32), (words.reshape(-1) / np.log(10)).astype(np.float32), np.log10(z), tokens, distinct)
+
+
+def language_scores(docs: DataFrame, rounds: int = ROUNDS, word_rounds: int = WORD_ROUNDS, alpha: float = ALPHA) -> DataFrame:
     """Learn from the documents that are not held out, and score all."""
     spark = docs.sparkSession
     tune(spark)
     rows = _rows(_stable(docs.select("doc_id", "text")))
     totals = materialise(word_totals(partition_words(rows)), "word-totals")
     ends = rows.where("not held_out").count()
-    tokens, distinct = class_totals(totals, ends)
     folder = scratch(spark, "word-lookups")
-    write_lookups(totals, folder)
-    weights, _ = train(context_cells(rows), rounds)
-    return score(rows, folder, weights, tokens, distinct, alpha)
+    write_lookups(totals, folder, rows.rdd.getNumPartitions())
+    return score(rows, folder, trained(rows, totals, ends, rounds, word_rounds, alpha), alpha)
 
 
 def reference_base(texts: list[tuple], alpha: float = ALPHA) -> dict:
