@@ -1,8 +1,9 @@
 """Words and their hashes for whole Arrow batches, without a Python object per word.
 
-A batch's texts lie in one byte buffer. Word borders come from a table lookup per byte, and each word's 64-bit hash from
-prefix sums of a polynomial modulo 2**64, so the cost is a few array passes over the bytes. Hashes of equal words are equal
-everywhere; different words collide with a chance of about 2**-64 a pair.
+A batch's texts lie in one byte buffer. Word borders come from a table lookup per byte. A word's 64-bit hash is tabulation hashing: each byte
+is replaced by a random 64-bit number that belongs to the byte and its place in the word, and these are added up and finalised, so the cost is a
+few array passes over the bytes. Hashes of equal words are equal everywhere. As the numbers are independent of each other and of the texts, two
+different words, however alike or regular, collide with a chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import pyarrow as pa
 #: Texts are taken in slices of about so many bytes (a longer text makes a slice of its own).
 SLICE_BYTES = 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Random numbers by place in a word and byte; later places mix the first row's numbers with the place.
+PLACES = 64
+_TABLE = np.random.default_rng(0x7E55E8A).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64).reshape(-1)
 
 
 def space_words() -> np.ndarray:
@@ -49,28 +51,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = max(n + n // 4, SLICE_BYTES + 1)
-        for name, base in (("_powers", _BASE), ("_inverses", pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            globals()[name] = np.cumprod(x, dtype=np.uint64)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]]."""
+    """64-bit hashes of data[starts[i]:ends[i]]; an empty span's is that of no bytes."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    _grow(len(data) + 1)
-    x = (LOWER[data] if lower else data).astype(np.uint64)
-    x += np.uint64(1)
-    x *= _powers[: len(x)]
-    sums = np.empty(len(x) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(x, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverses[starts])
+    lengths = ends - starts
+    at = gather_ranges(starts, lengths)
+    last = np.cumsum(lengths)
+    place = np.arange(len(at)) - np.repeat(last - lengths, lengths)
+    value = LOWER[data[at]] if lower else data[at]
+    random = _TABLE[(np.minimum(place, PLACES - 1) << 8) | value]
+    if int(lengths.max()) >= PLACES:
+        far = np.flatnonzero(place >= PLACES - 1)
+        random[far] = mix(_TABLE[value[far]] ^ mix(place[far].astype(np.uint64) * _GOLD))
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(random, out=sums[1:])
+    return mix(sums[last] - sums[last - lengths] + lengths.astype(np.uint64) * _GOLD)
 
 
 @dataclass

@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,3 +46,14 @@ def test_code_points():
 
 def test_ranges():
     assert textkit.gather_ranges(np.array([5, 9, 2]), np.array([2, 0, 3])).tolist() == [5, 6, 2, 3, 4]
+
+
+@pytest.mark.parametrize("letters", [64, 1024, 2048, 4096])
+def test_regular_words_have_hashes_of_their_own(letters):
+    one = bytes(97 + (bin(i).count("1") & 1) for i in range(letters))
+    words = [one, one.translate(bytes.maketrans(b"ab", b"ba")), one[::-1], one[1:], one[1:] + one[:1], b"a" * letters, b"a" * (letters + 1), b"b" * letters]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    w = textkit.words_of(data, np.array([0, len(data)]), textkit.space_words())
+    assert len(set(w.hashes().tolist())) == len(set(words))
+    empty = textkit.span_hashes(data, np.array([3, 3]), np.array([3, 5]))
+    assert empty[0] != empty[1]
