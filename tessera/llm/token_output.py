@@ -2,14 +2,15 @@
 
 Encoding. Texts are cut where the byte-level pre-tokenizer can not look across: before a white-space character that a
 non-white-space one follows, and behind it unless it is a plain space (a plain space goes with the word behind it). Each distinct
-piece is encoded once by the tokenizers library and kept by its hash, so common words cost an array lookup. The ids are those of
-the whole text.
+piece is encoded once by the tokenizers library and kept by its hash, so common words cost an array lookup. Every piece's bytes are compared with
+those kept under its hash, and pieces that differ are encoded by themselves. The ids are those of the whole text.
 
 Files. Documents go out in ascending key order (range-partitioned), in shards of at most SHARD_TOKENS ids or one document.
 A shard holds a header, the keys, the documents' offsets, the index and the raw ids (2 bytes each where the vocabulary allows).
 The index is a hash-and-displace minimal perfect hash: keys fall into buckets, and each bucket stores the displacement that sends
-its keys to free slots; a slot stores a 32-bit fingerprint and the number of its document in the shard. A lookup reads one displacement, one slot and two
-offsets, whatever the shard's size. Shards are written under new names, and only those that finished tasks name in the manifest are read, so a
+its keys to free slots; a slot stores a 32-bit fingerprint and the number of its document in the shard. The manifest holds each shard's range of
+keys, which leads a key to its shard; lookup() then reads the header, one displacement, one slot, the key, two offsets and the document's ids by
+range reads, whatever the shard's size. Shards are written under new names, and only those that finished tasks name in the manifest are read, so a
 lost executor or a repeated task leaves no wrong file in use.
 
 Defined results: a null or empty text has only the end id; null keys come first and are not in the index; rows with equal keys follow each
@@ -37,8 +38,8 @@ from tessera.llm.shared import materialise, scratch, shuffle_partitions, tokeniz
 END_ID = 2
 #: Ids of a shard at most (but for a single longer document): 16 MB at 2 bytes.
 SHARD_TOKENS = 8_000_000
-#: Pieces that a worker remembers at most: about 60 MB.
-REMEMBERED = 1_500_000
+#: Pieces that a worker remembers at most: about 80 MB.
+REMEMBERED = 1_200_000
 MAGIC = b"TESSIDS1"
 _HEADER = struct.Struct("<8sBxxxIQQQ")  # magic, bytes of an id, buckets, documents, indexed keys, ids
 
@@ -78,6 +79,7 @@ class Encoder:
     def _forget(self) -> None:
         self.keys, self.first, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), 0
+        self.raw, self.filled, self.raw_first, self.sizes = np.zeros(1 << 18, np.uint8), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece). Pieces that begin with a plain space keep their ids when they are joined, so they go in long runs."""
@@ -105,11 +107,28 @@ class Encoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
+        raw, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
+        while self.filled + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.raw[self.filled : self.filled + len(raw)] = raw
         at = np.searchsorted(self.keys, keys)
         self.first = np.insert(self.first, at, self.used + np.cumsum(lengths) - lengths)
         self.lengths = np.insert(self.lengths, at, lengths)
+        self.raw_first = np.insert(self.raw_first, at, self.filled + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
         self.keys = np.insert(self.keys, at, keys)
-        self.used += len(ids)
+        self.used, self.filled = self.used + len(ids), self.filled + len(raw)
+
+    def _strangers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces whose bytes are not those kept in their slot."""
+        same = self.sizes[slot] == sizes
+        if same.all():
+            differ = np.flatnonzero(self.raw[textkit.gather_ranges(self.raw_first[slot], sizes)] != data)
+            return np.unique(np.searchsorted(starts, differ, "right") - 1) if len(differ) else differ
+        close = np.flatnonzero(same)
+        mine, kept = textkit.gather_ranges(starts[close], sizes[close]), textkit.gather_ranges(self.raw_first[slot[close]], sizes[close])
+        differ = np.searchsorted(starts, mine[self.raw[kept] != data[mine]], "right") - 1
+        return np.union1d(np.flatnonzero(~same), differ)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
@@ -130,6 +149,13 @@ class Encoder:
         slot = at[inverse]
         lengths = self.lengths[slot]
         ids = self.flat[textkit.gather_ranges(self.first[slot], lengths)]
+        others = self._strangers(data, starts, ends - starts, slot)
+        if len(others):
+            own, sizes = self._encoded([data[starts[i] : ends[i]].tobytes() for i in others])
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for i, x in zip(others.tolist(), np.split(own, np.cumsum(sizes)[:-1]), strict=True):
+                parts[i] = x
+            ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         done = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(done[np.searchsorted(starts, offsets)])
 
@@ -252,7 +278,52 @@ def read_shard(path: str) -> Shard:
         return Shard(f.read())
 
 
-_MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
+class Shelf:
+    """A shard's file, read by ranges only: `bytes_read` counts what a lookup costs."""
+
+    def __init__(self, path: str):
+        fs, at = pafs.FileSystem.from_uri(path)
+        self.file, self.bytes_read = fs.open_input_file(at), 0
+        magic, self.width, self.buckets, self.docs, self.indexed, self.n_ids = _HEADER.unpack(self._bytes(0, _HEADER.size))
+        if magic != MAGIC:
+            raise ValueError("not a token shard")
+        self.keys_at = _HEADER.size
+        self.starts_at = self.keys_at + 9 * self.docs
+        self.displacement_at = self.starts_at + 8 * (self.docs + 1)
+        self.prints_at = self.displacement_at + 4 * self.buckets
+        self.first_at = self.prints_at + 4 * self.indexed
+        self.ids_at = self.first_at + 4 * self.indexed
+
+    def _bytes(self, at: int, n: int) -> bytes:
+        self.bytes_read += n
+        return self.file.read_at(n, at)
+
+    def _number(self, at: int, kind: str) -> int:
+        return int(np.frombuffer(self._bytes(at, np.dtype(kind).itemsize), kind)[0])
+
+    def ids_of(self, key: int) -> np.ndarray | None:
+        """The ids of a key's first document."""
+        if not self.indexed:
+            return None
+        pick, hashed, step, prints = _hashes(np.array([key], np.int64))
+        displacement = self._number(self.displacement_at + 4 * int(pick[0] % np.uint64(self.buckets)), "<i4")
+        slot = int(_slots(np.array([displacement]), hashed, step, self.indexed)[0])
+        if self._number(self.prints_at + 4 * slot, "<u4") != int(prints[0]):
+            return None
+        n = self._number(self.first_at + 4 * slot, "<u4")
+        if self._number(self.keys_at + 8 * n, "<i8") != key:
+            return None
+        a, b = np.frombuffer(self._bytes(self.starts_at + 8 * n, 16), "<u8").tolist()
+        return np.frombuffer(self._bytes(self.ids_at + a * self.width, (b - a) * self.width), f"<u{self.width}")
+
+
+def lookup(manifest: DataFrame, key: int) -> np.ndarray | None:
+    """The ids of a key's first document, or None. Reads one row of the manifest and a few ranges of one shard."""
+    row = manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("part", "seq").select("path").first()
+    return Shelf(row["path"]).ids_of(key) if row else None
+
+
+_MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, first_key long, last_key long"
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -262,7 +333,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
     n = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .withColumn("row", F.monotonically_increasing_id())  # splits copies of one row
+        .repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row")
+        .drop("row")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
 
@@ -279,7 +352,13 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = EN
             name = f"part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids"
             with fs.open_output_stream(f"{base}/{name}") as f:
                 f.write(pack_shard(keys, null, counts, ids, width))
-            row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64())})
+            known = keys[~null]
+            row = pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [f"{folder}/{name}"], "n_docs": pa.array([len(keys)], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()),
+                    "first_key": pa.array(known[:1].tolist() or [None], pa.int64()), "last_key": pa.array(known[-1:].tolist() or [None], pa.int64()),
+                }
+            )
             seq, held = seq + 1, 0
             kept.clear()
             return row

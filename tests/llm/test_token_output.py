@@ -43,6 +43,25 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert encoded(texts, 100) == whole
 
 
+def test_pieces_with_equal_hashes_keep_their_own_ids(monkeypatch):
+    texts = [f"piece{i} of{i % 3} ab{'c' * (i % 4)} x{i % 2}" for i in range(60)]
+    whole = [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    real = textkit.span_hashes
+    ENCODER._forget()
+    monkeypatch.setattr(textkit, "span_hashes", lambda *a, **k: real(*a, **k) % np.uint64(7))
+    try:
+        assert encoded(texts) == whole and encoded(texts, 40) == whole
+    finally:
+        ENCODER._forget()
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_regular_words_keep_their_own_ids(letters):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(letters))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    assert encoded(texts) == [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 100, 5000])
 def test_index_is_minimal_and_perfect(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n)) if n > 3 else np.arange(n)
@@ -73,10 +92,26 @@ def test_many_shards_and_keyed_access(spark, make, tokenizer):
     for i in (0, 17, 299):
         (ids,) = [x for s in shards if (x := s.ids_of(i)) is not None]
         assert ids.tolist() == [*tokenizer.encode(f"document number {i} has {i * i} in it", add_special_tokens=False).ids, 2]
+        assert token_output.lookup(manifest, i).tolist() == ids.tolist()
+    for absent in (-1, 300, 2**40):
+        assert token_output.lookup(manifest, absent) is None
+    path = manifest.orderBy("part", "seq").first()["path"]
+    shelf = token_output.Shelf(path)
+    found = shelf.ids_of(0)
+    assert shelf.bytes_read == token_output._HEADER.size + 4 + 4 + 4 + 8 + 16 + found.nbytes
     starts = token_output.read_back(manifest).orderBy("doc_id").collect()
     assert [r["start"] for r in starts] == np.cumsum([0, *[r["n_tokens"] for r in starts]])[:-1].tolist()
 
 
+def test_copies_of_one_row_and_null_keys(spark, make):
+    docs = make([(7, "the same text again")] * 400 + [(None, "no key")] * 300).repartition(6)
+    manifest = token_output.write_shards(docs, scratch(spark, "t"), tokenizer_path(), shard_tokens=500)
+    assert manifest.where("n_docs > 0").select("part").distinct().count() > 2
+    got = token_output.read_back(manifest)
+    assert got.where("doc_id = 7").count() == 400 and got.where("doc_id is null").count() == 300
+    assert token_output.lookup(manifest, 7).tolist() == encoded(["the same text again"])[0] + [2]
+
+
 def test_empty(make):
     assert token_output.token_output(make([])).count() == 0
 
