@@ -1,10 +1,11 @@
 """Main text of web pages by wrapper induction.
 
 1. A page is parsed once into a tree of its block elements (unclosed and stray tags, raw-text elements and comments are handled).
-   Siblings with the same label become one node, as a wrapper's repeated part, so trees stay small whatever the page's length.
+   Siblings with the same label (tag and first class without digits) become one node, as a wrapper's repeated part, so trees stay small whatever the
+   page's length.
 2. Pages of a host are aligned with the host's reference page, the one with the smallest hash of its id, by simple tree matching: the largest
-   order-preserving match of nodes with equal labels, by dynamic programming over children. Alignments are remembered by the
-   shapes of both trees, and most pages of a host share a shape.
+   order-preserving match of nodes with equal labels. As labels of siblings differ, that is a heaviest increasing subsequence of the
+   children, found in n log n. Alignments are remembered by the shapes of both trees, and most pages of a host share a shape.
 3. Per host and reference node, the pages that hold each text there are counted over all pages (copies of a whole article count
    once). Texts that most pages hold in the same node are template; those that vary are content.
 4. A page's text is what its article (or main part) holds outside menus, headers, footers, sidebars, notices, adverts, forms and comments, without
@@ -13,6 +14,11 @@
 Inside an article a text must be in TEMPLATE_SHARE of at least TEMPLATE_PAGES distinct pages to be template, as articles may well share passages;
 elsewhere LOOSE_SHARE of LOOSE_PAGES are enough for a text of at most LOOSE_CHARS. If all of a page's text were template, it is kept.
 
+Words of class and id. A name made of nothing but such words and neutral ones (comments, ad-box, site-footer) marks an element as boilerplate, unless it
+holds the page's first article or its main, or is a heading. A name with other words besides (social-studies, notice-of-death) is only a vote: the
+element goes if the alignment agrees, which is that its node repeats its texts from page to page, or if it is nothing but links. Outside an article and main, a run of
+MENU_LINKS or more blocks of one node that are nothing but links is a menu.
+
 Scale: a host's pages never meet in a task. Reference trees and templates are a row per host, joined to the pages by host; Spark broadcasts them
 only when their written size is below the session's threshold, and otherwise splits the popular hosts' rows. Counts are aggregated
 before they are shuffled.
@@ -27,6 +33,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,6 +56,12 @@ BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription "
     "sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments disqus replies reply share sharing social related recommended widget widgets toolbar pagination pager search login signup skip".split()
 )
+#: Words that say nothing of their own beside one of these.
+NEUTRAL = frozenset(
+    "area article articles bar block bottom box button buttons btn column container content entry fixed form global google group icons inner item items js layout left link links list main page pane panel placeholder post posts primary right "
+    "row secondary section site slot small the top unit wrap wrapper zone".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A word after one of these tells what a page has, not what the element is: has-sidebar, no-comments.
 STATES = frozenset("has no not with without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
@@ -57,10 +70,14 @@ TEMPLATE_SHARE, TEMPLATE_PAGES = 0.8, 8
 LOOSE_SHARE, LOOSE_PAGES = 0.5, 3
 #: A longer text is a passage, and the strict figures hold for it everywhere.
 LOOSE_CHARS = 80
+#: A node with fewer distinct texts than this share of its blocks repeats them.
+REPEATS = 0.5
+MENU_LINKS = 3
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z))""", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
-_PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_PART = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_DIGITS = re.compile(r"[0-9]+")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.IGNORECASE) for t in RAW}
 
 
@@ -80,40 +97,55 @@ class Node:
         return [self.label, *[c.shape() for c in self.children.values()]]
 
 
-def _names_boilerplate(value: str) -> bool:
+def _boilerplate(value: str) -> int:
+    """How much the names in class or id mark boilerplate: 0 not, 1 a vote, 2 fully."""
+    most = 0
     for name in value.split():
-        parts = [p.lower() for p in _PART.split(name)]
-        if any(p in BOILERPLATE and not (k and parts[k - 1] in STATES) for k, p in enumerate(parts)):
-            return True
-    return False
+        parts = [p for x in _PART.split(name) if (p := _DIGITS.sub("", x.lower()))]
+        named = [p in BOILERPLATE and not (k and parts[k - 1] in STATES) for k, p in enumerate(parts)]
+        if any(named):
+            most = max(most, 2 if all(n or p in NEUTRAL for n, p in zip(named, parts, strict=True)) else 1)
+    return most
 
 
-def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """(first class, whether a role or hidden marks boilerplate, whether a word of class or id does)."""
-    first, bad, named = "", False, False
+def _attributes(raw: str) -> tuple[str, str, bool, int]:
+    """(first class without digits, role, whether it is hidden, how much the names of class and id mark boilerplate)."""
+    first, role, hidden, named = "", "", False, 0
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), a or b or c
-        if name == "class" and not first:
-            first = value.split()[0] if value.split() else ""
+        if name == "class" and not first and value.split():
+            first = _DIGITS.sub("", value.split()[0])
         if name in ("class", "id"):
-            named = named or _names_boilerplate(value)
+            named = max(named, _boilerplate(value))
         elif name == "role":
-            bad = bad or value.lower() in ROLES
+            role = value.strip().lower()
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            bad = True
-    return first, bad, named
+            hidden = True
+    return first, role, hidden, named
+
+
+@dataclass
+class Block:
+    """A run of text: its node's number, its container (2 an article, 1 a main element, 0 elsewhere), and the votes against it."""
 
+    node: int
+    container: int
+    text: str
+    doubt: bool  # a name of class or id speaks against it
+    linked: bool  # nothing but links
+    menu: bool = False
 
-def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
-    """(tree, blocks). A block is (node number, container, text): container 2 in an article, 1 in a main element, 0 elsewhere.
-    Blocks inside boilerplate are left out, but their nodes are in the tree. Words of class and id do not mark an outer article or main, nor
-    what holds the page's first article or its main; and if they marked all of a page's text, it is kept."""
+
+def parse(source: str) -> tuple[Node, list[Block]]:
+    """(tree, blocks). Blocks inside boilerplate are left out, but their nodes are in the tree. Names of class and id do not mark an outer article or main,
+    nor what holds the page's first article or its main; and if they marked all of a page's text, it is kept."""
     root = Node("#")
-    stack: list[tuple[str, Node, bool, int, int]] = [("#", root, False, 0, 0)]  # tag, node, skipped, container, innermost named element
-    blocks: list[tuple[Node, int, str, int]] = []
-    around, stays, inner = [0], [True], [False]  # of each named element: the one around it, whether it is kept, whether it is in an article
+    stack: list[tuple] = [("#", root, False, 0, 0, False)]  # tag, node, skipped, container, innermost marked element, doubt
+    blocks: list[tuple[Node, int, str, int, bool, bool]] = []
+    around, stays, inner = [0], [True], [False]  # of each marked element: the one around it, whether it is kept, whether it is in an article
     seen = False  # an article that is kept
     words: list[str] = []
+    plain = linked = False  # whether words hold text outside, and inside, links
     opened: dict[str, int] = {}  # how many elements of each tag are open
     at, n = 0, len(source)
 
@@ -123,16 +155,24 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
         del stack[k:]
 
     def close() -> None:
-        if words:
-            _, node, _, container, named = stack[-1]
+        nonlocal plain, linked
+        if words and not stack[-1][2]:
+            _, node, _, container, mark, doubt = stack[-1]
             if text := " ".join(entities.unescape("".join(words)).split()):
-                blocks.append((node, container, text, named))
+                blocks.append((node, container, text, mark, doubt, linked and not plain))
             words.clear()
+            plain = linked = False
 
     while at < n:
         m = _TAG.search(source, at)
         if not stack[-1][2]:
-            words.append(source[at : m.start() if m else n])
+            piece = source[at : m.start() if m else n]
+            words.append(piece)
+            if piece and not piece.isspace():
+                if opened.get("a"):
+                    linked = True
+                else:
+                    plain = True
         if not m:
             break
         at = m.end()
@@ -140,11 +180,12 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "br":
+            if tag == "br" and not stack[-1][2]:
                 words.append(" ")
             if opened.get(tag):
                 k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag)
-                if any(stack[j][0] in BLOCKS or stack[j][2] != stack[j - 1][2] or stack[j][4] != stack[j - 1][4] for j in range(k, len(stack))):
+                # an inline element that is skipped ends no block
+                if any(stack[j][0] in BLOCKS or stack[j][4] != stack[j - 1][4] for j in range(k, len(stack))):
                     close()
                 leave(k)
             continue
@@ -167,21 +208,21 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                     leave(k)
                     if not ends:
                         break
-                elif open_tag in SCOPES:
+                elif open_tag in SCOPES or (stack[k][2] and not stack[k - 1][2]):
                     break
-        _, parent, skipped, container, mark = stack[-1]
-        first, bad, named = _attributes(m[3]) if m[3] else ("", False, False)
-        is_main = tag == "main" or (container == 0 and 'role="main"' in m[3])
-        named = named and not is_main and tag not in ("html", "body") and not (tag == "article" and container < 2)
+        _, parent, skipped, container, mark, doubt = stack[-1]
+        first, role, hidden, named = _attributes(m[3]) if m[3] else ("", "", False, 0)
+        is_main = tag == "main" or (container == 0 and role == "main")
+        if is_main or tag in ("html", "body") or tag in HEADINGS or (tag == "article" and container < 2):
+            named = 0
         inside_article = container == 2
         if tag == "article":
             container = 2
         elif is_main:
             container = max(container, 1)
-        skips = skipped or tag in SKIPPED or (bad and tag not in ("html", "body", "main"))
-        if (skips or named) and not skipped:
+        skips = skipped or (tag in SKIPPED and not (tag == "header" and inside_article)) or ((hidden or role in ROLES) and tag not in ("html", "body", "main"))
+        if named == 2 and not skips:
             close()
-        if named and not skips:
             around.append(mark)
             stays.append(False)
             inner.append(inside_article)
@@ -192,6 +233,7 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                 stays[k] = True
                 k = around[k]
             seen = seen or (tag == "article" and stays[k])
+        doubt = container != 2 and doubt if tag == "article" else doubt or named == 1
         node = parent
         if tag in BLOCKS:
             label = f"{tag}.{first}" if first else tag
@@ -201,8 +243,10 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
                     node = parent.children[label] = Node(label, parent.depth + 1)
         if m[3].endswith("/") and tag not in BLOCKS:
             continue
-        stack.append((tag, node, skips, container, mark))
+        stack.append((tag, node, skips, container, mark, doubt))
         opened[tag] = opened.get(tag, 0) + 1
+    while len(stack) > 1 and stack[-1][2]:  # text before an element that is skipped and never ends
+        leave(len(stack) - 1)
     close()
 
     count = 0
@@ -217,47 +261,79 @@ def parse(source: str) -> tuple[Node, list[tuple[int, int, str]]]:
     number(root)
     for k in range(1, len(stays)):
         stays[k] = stays[k] and stays[around[k]]
-    kept = [b for b in blocks if stays[b[3]]] or blocks
-    return root, [(node.number, container, text) for node, container, text, _ in kept]
+    kept = [Block(node.number, container, text, doubt, link) for node, container, text, mark, doubt, link in ([b for b in blocks if stays[b[3]]] or blocks)]
+    a = 0
+    while a < len(kept):
+        b = a + 1
+        if kept[a].linked and not kept[a].container:
+            while b < len(kept) and kept[b].linked and kept[b].node == kept[a].node:
+                b += 1
+            for x in kept[a:b]:
+                x.menu = b - a >= MENU_LINKS
+        a = b
+    return root, kept
+
+
+def _heaviest(places: list[tuple[int, int, int]], width: int) -> tuple[int, list[int]]:
+    """(weight, numbers) of the heaviest subsequence of (row, column, weight), rows ascending, whose columns ascend as well."""
+    best: list[tuple[int, int]] = [(0, -1)] * (width + 1)  # by a binary indexed tree over columns: the heaviest end so far
+    before = [-1] * len(places)
+    top = (0, -1)
+    for k, (_, column, weight) in enumerate(places):
+        found, i = (0, -1), column
+        while i > 0:
+            if best[i][0] > found[0]:
+                found = best[i]
+            i -= i & -i
+        before[k] = found[1]
+        made = (found[0] + weight, k)
+        if made[0] > top[0]:
+            top = made
+        i = column + 1
+        while i <= width:
+            if made[0] > best[i][0]:
+                best[i] = made
+            i += i & -i
+    chain, k = [], top[1]
+    while k >= 0:
+        chain.append(k)
+        k = before[k]
+    return top[0], chain[::-1]
 
 
 def simple_tree_matching(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of preorder numbers of the largest order-preserving match of two trees [label, child, ...] with equal roots."""
-
-    def size(t: list) -> int:
-        return 1 + sum(size(c) for c in t[1:])
-
-    def match(a: list, b: list, i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
-        if a[0] != b[0]:
-            return 0, []
-        rows, columns = a[1:], b[1:]
-        at_row, at_column = [i + 1], [j + 1]
-        for c in rows:
-            at_row.append(at_row[-1] + size(c))
-        for c in columns:
-            at_column.append(at_column[-1] + size(c))
-        best = [[(0, [])] * (len(columns) + 1)]
-        for x, c in enumerate(rows):
-            line = [(0, [])]
-            for y, d in enumerate(columns):
-                option = max(best[x][y + 1], line[y], key=lambda v: v[0])
-                w, pairs = match(c, d, at_row[x], at_column[y])
-                if w and best[x][y][0] + w > option[0]:
-                    option = (best[x][y][0] + w, best[x][y][1] + pairs)
-                line.append(option)
-            best.append(line)
-        w, pairs = best[-1][-1]
-        return w + 1, [(i, j), *pairs]
-
-    return match(a, b, 0, 0)[1]
+    """Pairs of preorder numbers of the largest order-preserving match of two trees [label, child, ...] with equal roots. Siblings' labels must differ."""
+
+    def numbered(t: list, at: int) -> tuple[tuple, int]:
+        number, children = at, {}
+        at += 1
+        for c in t[1:]:
+            children[c[0]], at = numbered(c, at)
+        return (number, children), at
+
+    def match(x: tuple, y: tuple) -> tuple[int, tuple, list]:
+        columns = {label: k for k, label in enumerate(y[1])}
+        both = [(k, label) for k, label in enumerate(x[1]) if label in columns]
+        inside = [match(x[1][label], y[1][label]) for _, label in both]
+        weight, chain = _heaviest([(k, columns[label], m[0]) for (k, label), m in zip(both, inside, strict=True)], len(columns))
+        return weight + 1, (x[0], y[0]), [inside[k] for k in chain]
+
+    if a[0] != b[0]:
+        return []
+    out, todo = [], [match(numbered(a, 0)[0], numbered(b, 0)[0])]
+    while todo:
+        _, pair, chosen = todo.pop()
+        out.append(pair)
+        todo += chosen[::-1]
+    return out
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)", 1)), F.lit(""))
 
 
-_BLOCKS = "array<struct<slot:int,container:int,text:string>>"
-_BLOCK_TYPE = pa.list_(pa.struct([("slot", pa.int32()), ("container", pa.int32()), ("text", pa.string())]))
+_BLOCKS = "array<struct<slot:int,container:int,text:string,doubt:boolean,linked:boolean,menu:boolean>>"
+_BLOCK_TYPE = pa.list_(pa.struct([("slot", pa.int32()), ("container", pa.int32()), ("text", pa.string()), *[(k, pa.bool_()) for k in ("doubt", "linked", "menu")]]))
 
 
 def reference_shapes(pages: DataFrame) -> DataFrame:
@@ -288,7 +364,7 @@ def aligned_blocks(pages: DataFrame, references: DataFrame) -> DataFrame:
                     if len(known) > 5000:
                         known.clear()
                     slots = known[shape, own] = {j: i for i, j in simple_tree_matching(json.loads(shape), json.loads(own))} if shape else {}
-                out.append([{"slot": slots.get(node, -1), "container": container, "text": text} for node, container, text in blocks])
+                out.append([{"slot": slots.get(b.node, -1), "container": b.container, "text": b.text, "doubt": b.doubt, "linked": b.linked, "menu": b.menu} for b in blocks])
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id").cast(pa.int64()), "url": batch.column("url"), "host": batch.column("host"), "blocks": pa.array(out, _BLOCK_TYPE)})
 
     return joined.mapInArrow(align, f"page_id long, url string, host string, blocks {_BLOCKS}")
@@ -298,30 +374,39 @@ def _place(b):
     return F.xxhash64(b["slot"], b["container"], b["text"])
 
 
+def _node(b):
+    return F.xxhash64(b["slot"], F.lit("repeats its texts"))
+
+
 def templates(aligned: DataFrame) -> DataFrame:
-    """(host, constant): hashes of (slot, container, text) that are the host's template."""
-    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), F.transform("blocks", lambda b: F.struct(_place(b).alias("h"), ((b["container"] > 0) | (F.length(b["text"]) > LOOSE_CHARS)).alias("strict"))).alias("places"))
+    """(host, constant): hashes of (slot, container, text) that are the host's template, and of the doubtful slots that repeat their texts."""
+    places = F.transform("blocks", lambda b: F.struct(_place(b).alias("h"), ((b["container"] > 0) | (F.length(b["text"]) > LOOSE_CHARS)).alias("strict"), F.when(b["doubt"], _node(b)).alias("node")))
+    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), places.alias("places"))
     distinct = hashed.groupBy("host", "article").agg(F.any_value("places").alias("places"))
     pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     each = distinct.select("host", F.explode(F.array_distinct("places")).alias("p"))
-    counts = each.groupBy("host", "p.h", "p.strict").agg(F.count("*").alias("n")).where(F.col("n") >= LOOSE_PAGES)
+    every = each.groupBy("host", "p.h", "p.strict", "p.node").agg(F.count("*").alias("n"))
+    counts = every.where(F.col("n") >= LOOSE_PAGES)
     share, least = F.when(F.col("strict"), TEMPLATE_SHARE).otherwise(LOOSE_SHARE), F.when(F.col("strict"), TEMPLATE_PAGES).otherwise(LOOSE_PAGES)
-    constant = counts.join(pages, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least))
-    return constant.groupBy("host").agg(F.collect_set("h").alias("constant"))  # at most a page's blocks / LOOSE_SHARE
+    constant = counts.join(pages, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least)).select("host", "h")
+    repeated = every.where("node is not null").groupBy("host", "node").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where((F.col("n") >= LOOSE_PAGES) & (F.col("texts") < REPEATS * F.col("n")))
+    found = constant.unionByName(repeated.select("host", F.col("node").alias("h")))
+    return found.groupBy("host").agg(F.collect_set("h").alias("constant"))  # at most a page's blocks / LOOSE_SHARE, and the nodes of the reference page
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page."""
+def main_text(pages: DataFrame, use_template: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every page. use_template: whether the alignment has its say (without it, for comparison only)."""
     spark = pages.sparkSession
     tune(spark)
     pages = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     references = materialise(reference_shapes(pages), "reference-pages")
     aligned = materialise(aligned_blocks(pages, references), "aligned-pages")
-    constant = materialise(templates(aligned), "templates")
+    constant = materialise(templates(aligned), "templates") if use_template else spark.createDataFrame([], "host string, constant array<long>")
     found = aligned.join(constant, "host", "left")
     best = F.aggregate("blocks", F.lit(0), lambda a, b: F.greatest(a, b["container"]))
     inside = F.filter("blocks", lambda b: b["container"] >= F.col("best"))
-    varying = F.filter("inside", lambda b: F.coalesce(~F.array_contains(F.col("constant"), _place(b)), F.lit(True)))
+    holds = lambda h: F.coalesce(F.array_contains(F.col("constant"), h), F.lit(False))
+    varying = F.filter("inside", lambda b: ~(holds(_place(b)) | (b["doubt"] & (b["linked"] | holds(_node(b)))) | b["menu"]))
     found = found.withColumn("best", best).withColumn("inside", inside).withColumn("varying", varying)
     kept = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("inside"))
     text = F.concat_ws("\n\n", F.transform(kept, lambda b: b["text"]))

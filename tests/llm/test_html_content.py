@@ -17,6 +17,12 @@ def texts(df):
     return {r["page_id"]: r["text"] for r in h.main_text(df).collect()}
 
 
+def parsed(source):
+    blocks = h.parse(source)[1]
+    best = max((b.container for b in blocks), default=0)
+    return "\n\n".join(b.text for b in blocks if b.container == best)
+
+
 @pytest.mark.parametrize(
     ("source", "want"),
     [
@@ -29,9 +35,7 @@ def texts(df):
     ],
 )
 def test_one_page(spark, source, want):
-    blocks = h.parse(source or "")[1]
-    best = max((c for _, c, _ in blocks), default=0)
-    assert "\n\n".join(t for _, c, t in blocks if c == best) == want
+    assert parsed(source or "") == want
     assert texts(pages(spark, [source])) == {0: want}
 
 
@@ -69,7 +73,7 @@ def test_very_long_page(spark):
 def test_deep_nesting_and_stray_tags():
     deep = "<div><section>" * 20_000 + "x" + "</div></section></b>" * 20_000
     tree, blocks = h.parse(deep)
-    assert [t for _, _, t in blocks] == ["x"]
+    assert [b.text for b in blocks] == ["x"]
     assert h.simple_tree_matching(tree.shape(), tree.shape())[-1] == (h.DEPTH, h.DEPTH)
 
 
@@ -102,12 +106,72 @@ def test_query_against_a_plain_reading(spark, small):
     ],
 )
 def test_words_do_not_take_the_main_text(source, want):
-    blocks = h.parse(source)[1]
-    best = max(c for _, c, _ in blocks)
-    assert "\n\n".join(t for _, c, t in blocks if c == best) == want
+    assert parsed(source) == want
 
 
 def test_long_passages_that_few_pages_share_stay(spark):
     passage = "A paragraph that some of the pages share, and that is far too long to be an entry of a menu or a button."
     rows = [PAGE.format(i=i, main=f"<div><p>Share this page</p><p>Story {i}</p>{f'<p>{passage}</p>' if i % 2 else ''}</div>") for i in range(6)]
     assert texts(pages(spark, rows)) == {i: f"Story {i}" + (f"\n\n{passage}" if i % 2 else "") for i in range(6)}
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ('<article><p title="the hidden valley">text</p></article>', "text"), ('<article><div class="content has-sidebar"><p>text</p></div></article>', "text"), ('<article><section id="social-studies"><p>text</p></section></article>', "text"),
+        ('<article><p class="notice-of-death">text</p></article>', "text"), ('<article><h1 class="article-header">A</h1><p>text</p></article>', "A\n\ntext"), ("<article><p>Press <button>OK</button> to go on.</p></article>", "Press to go on."),
+        ("<article><p>a <button><div>OK</div></button> b</p></article>", "a b"), ("<article><header><h1>A</h1></header><p>b</p></article>", "A\n\nb"), ("<article><p data-x='class=ad'>a</p><p class='ad'>no</p></article>", "a"), ("<article><p>kept <svg><p>no", "kept"),
+        ("<article><p>a</p><div class='comments-section-2'>no</div><ul class='site-footer'><li>no</ul></article>", "a"), ("<article><div class='advertising-history'><p>a</p></div></article>", "a"),
+    ],
+)
+def test_names_and_inline_parts(spark, source, want):
+    assert parsed(source) == want
+    assert texts(pages(spark, [source])) == {0: want}
+
+
+def test_the_alignment_decides_about_plain_menus_and_doubtful_names(spark):
+    menu = "<div><span>Home</span></div><div><ul><li>News<li>Sport<li>About us</ul></div>"
+    doubt = lambda t: f"<div class='social-studies'><p>{t}</p></div>"
+    rows = [f"<body>{menu}<div><p>Story {i} has its own words</p>{doubt(f'An essay {i}')}<div class='share-this-story'><p>Tell {'your' if i % 2 else 'a'} friend</p></div></div></body>" for i in range(12)]
+    want = {i: f"Story {i} has its own words\n\nAn essay {i}" for i in range(12)}
+    assert texts(pages(spark, rows)) == want
+    off = {r["page_id"]: r["text"] for r in h.main_text(pages(spark, rows), use_template=False).collect()}
+    assert all("Sport" in off[i] and "friend" in off[i] for i in off)
+
+
+def test_menus_of_links(spark):
+    links = "".join(f"<li><a href=/{k}>entry {k}</a>" for k in range(4))
+    assert texts(pages(spark, [f"<div><ul>{links}</ul></div><div><p>Read <a href=/x>this</a> story</p><p><a href=/y>One link</a></p></div>"])) == {0: "Read this story\n\nOne link"}
+    assert texts(pages(spark, [f"<article><ul>{links}</ul></article>"]))[0].count("entry") == 4
+
+
+def test_many_sibling_labels():
+    from time import perf_counter
+
+    name = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    source = lambda step: "<article>" + "".join(f"<div class=x{name(k)}>t{k}</div>" for k in range(0, 30_000, step)) + "</article>"
+    began = perf_counter()
+    (one, blocks), (two, _) = h.parse(source(3)), h.parse(source(2))
+    pairs = h.simple_tree_matching(one.shape(), two.shape())
+    assert len(blocks) == 10_000 and len(pairs) == 2 + 5_000 and perf_counter() - began < 10
+
+
+def test_matching_is_the_largest_by_brute_force():
+    import random
+
+    def tree(r, depth=0):
+        return [r.choice("abc") if depth else "r", *[[x, *tree(r, depth + 1)[1:]] for x in r.sample("abcde", r.randint(0, 4))]] if depth < 3 else ["r"]
+
+    def size(a, b):
+        if a[0] != b[0]:
+            return 0
+        m = [[0] * len(b) for _ in a]
+        for i in range(1, len(a)):
+            for j in range(1, len(b)):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + size(a[i], b[j]))
+        return m[-1][-1] + 1
+
+    for seed in range(200):
+        r = random.Random(seed)
+        a, b = tree(r), tree(r)
+        assert len(h.simple_tree_matching(a, b)) == size(a, b)
