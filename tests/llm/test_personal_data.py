@@ -58,6 +58,69 @@ def test_loose_kinds_are_added_by_their_surroundings(make):
     assert all(r["n_added"] == 0 for i, r in got.items() if i >= 1000)
 
 
+def test_very_many_matches_in_one_text(make):
+    from time import perf_counter
+
+    addresses = "".join(f"n{i}@h{i % 7}.example " for i in range(100_000))
+    mixed = "".join(f"n{i}@h{i % 7}.example call +1 (555) 123-{i % 10000:04d} or ssn: 123-45-{i % 9000 + 1000}, " for i in range(5_000))
+    began = perf_counter()
+    got = {r["doc_id"]: r for r in personal_data.digest(personal_data.spans(make([(1, addresses), (2, mixed)]))).collect()}
+    assert perf_counter() - began < 60
+    assert digest(got[1]) == brute(addresses) and digest(got[2]) == brute(mixed)
+    assert got[1]["n_email"] == 100_000 and got[2]["n_phone"] == got[2]["n_added"] == 5_000
+    (row,) = personal_data.candidates(make([(1, mixed)])).select("ssn").collect()
+    for x in row[0]:
+        assert mixed[x["start"] - 5 : x["start"]] == "ssn: " and mixed[x["end"]] == ","
+
+
+def test_positions_and_surroundings_of_matches(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 511, 512, 513, 1300):
+        text = "".join(f"é{i}" + "x" * (i % 50) + f"<{i}>" * (1 + i % 2) for i in range(n)) + ("" if n % 2 else "end")
+        df = spark.createDataFrame([(text,)], "t string").select("t", F.regexp_extract_all("t", F.lit("<[0-9]+>"), F.lit(0)).alias("m"), F.split("t", "<[0-9]+>", -1).alias("g"))
+        (row,) = df.select(personal_data._placed(personal_data._matched(F.col("m"), F.col("g")))).collect()
+        want = [(m.start(), m.end(), m[0], text[max(0, m.start() - personal_data.CONTEXT) : m.start()], text[m.end() : m.end() + 1]) for m in re.finditer("<[0-9]+>", text)]
+        assert [tuple(x) for x in row[0]] == want
+
+
+def test_overlaps_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rows = []
+    for seed in range(60):
+        r = random.Random(seed)
+        pick = lambda n: [(a, a + r.randint(1, 12)) for a in sorted(r.sample(range(120), n))]  # noqa: E731, B023
+        rows.append((seed, [(*s, "b") for s in pick(r.randint(0, 8))], [(*s, r.choice("xy")) for s in pick(r.randint(1, 15))]))
+    span = "array<struct<start:int,end:int,kind:string>>"
+    df = spark.createDataFrame(rows, f"i int, base {span}, loose {span}")
+    got = {x["i"]: [(s["start"], s["end"], s["kind"]) for s in x["c"]] for x in personal_data.clear_of(df, "base", "loose").select("i", F.col("clear").alias("c")).collect()}
+    for i, base, loose in rows:
+        assert got[i] == sorted(s for s in loose if not any(b[0] < s[1] and s[0] < b[1] for b in base)), i
+
+
+def test_classifier_is_the_same_in_columns_and_uses_its_own_features(spark):
+    from pyspark.sql import functions as F
+
+    import random
+
+    r = random.Random(1)
+    rows = [("tel", "".join(r.choice("012") for _ in personal_data.LABELERS), (r.randrange(5), r.randrange(5), r.randrange(64), r.randrange(41))) for _ in range(300)]
+    model = personal_data.SpanClassifier([(*x, 1 + k % 3, float(x[2][2] < 20)) for k, x in enumerate(rows)], rounds=3000)
+    assert sum((model.score(*x) > 0) == (x[2][2] < 20) for x in rows) > 280
+    df = spark.createDataFrame([(k, (v, *own)) for k, (_, v, own) in enumerate(rows)], "i int, x struct<votes:string,before:int,behind:int,word:int,long:int>")
+    got = {x["i"]: x["s"] for x in df.select("i", model.column("tel", F.col("x")).alias("s")).collect()}
+    assert all(got[k] == pytest.approx(model.score(*x)) for k, x in enumerate(rows))
+
+
+def test_reliabilities_are_of_each_kind():
+    counts = {("tel", "111111"): 500, ("tel", "002000"): 480, ("tel", "121111"): 30, ("ssn", "011111"): 500, ("ssn", "102000"): 480, ("ssn", "111111"): 5}
+    post = personal_data.posteriors(counts)
+    assert post["tel", "111111"] > 0.9 and post["tel", "002000"] < 0.1 and post["ssn", "011111"] > 0.9 and post["ssn", "102000"] < 0.1
+
+
 def test_plan_is_native(make):
     plan = personal_data.candidates(make([(1, "x")]))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
