@@ -7,7 +7,7 @@
    (1 - (1 - s**4)**12)**2: 0.9997 at 0.85, 0.996 at 0.8 and more above, but 0.29 at 0.5.
    A table key can only be shared if both its sub-keys are. So sub-keys are counted first, and only shared ones of a document are
    combined: nearly all documents without relatives end there, and the shuffle carries 24 sub-keys a document, not 144 table keys.
-3. Verification by hubs. Documents that share a table key form a bucket, whose smallest id is its hub. Each is compared with the hub, exactly, on full
+3. Verification by hubs. Documents that share a table key form a bucket, whose hub is the one that meets most others over all its keys. Each is compared with the hub, exactly, on full
    sets made from the texts again; those that are linked leave the bucket, the others get a hub of their own, for HUBS rounds. A hub's
    members are cut into chunks of TILE by a hash, and each chunk gets the hub's text, so a round moves each text as often as it has hubs (mostly once)
    and no task holds more than a chunk: a family of near copies costs in proportion to its size. Texts of documents in no bucket are not moved. Texts are
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(key, id, hub): documents that share a table key, with the smallest of the key. classes: (id, sub_keys)."""
+    """(key, id, hub): documents that share a table key, with the key's hub. classes: (id, sub_keys)."""
     each = classes.select("id", F.posexplode("sub_keys").alias("place", "value"))
     shared = each.groupBy("place", "value").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     own = each.join(shared, ["place", "value"]).groupBy("id").agg(F.collect_list(F.struct("place", "value")).alias("keys"))  # 2 * SUBKEYS at most
@@ -137,9 +137,13 @@ def buckets(classes: DataFrame) -> DataFrame:
 
 
 def _with_hubs(keyed: DataFrame) -> DataFrame:
-    """(key, id, hub) of the keys that hold several ids."""
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(hubs, "key").select("key", "id", "hub")
+    """(key, id, hub) of the keys that hold several ids. The hub is the one that meets most others over all its keys (ties to the smaller id): the original of
+    edited copies, which is nearer to each of them than they are to each other."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = keyed.join(several, "key")
+    meets = sized.groupBy("id").agg(F.sum("n").alias("meets"))
+    hubs = sized.join(meets, "id").groupBy("key").agg(F.max(F.struct("meets", (-F.col("id")).alias("id"))).alias("best"))
+    return keyed.join(hubs.select("key", (-F.col("best.id")).alias("hub")), "key").select("key", "id", "hub")
 
 
 # Verification ------------------------------------------------------------------------------------------------------------

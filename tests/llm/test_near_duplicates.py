@@ -27,16 +27,51 @@ def rows():
     return out + [(500 + i, out[0][1]) for i in range(25)]
 
 
-@pytest.mark.parametrize("tile", [512, 16])
-def test_components(make, clashing, odd_rows, rows, tile):
+@pytest.mark.parametrize(("tile", "hubs"), [(512, n.HUBS), (16, n.HUBS), (16, 1)])
+def test_components(make, clashing, odd_rows, rows, tile, hubs):
     extra = [(600 + k, t) for k, (_, t) in enumerate(odd_rows)] + [(700, "a b c d e"), (701, "A b C d e"), (702, "a b c d"), (703, "a b c d e f")]
     docs = clashing(make(rows + extra), "sub_keys", "n_shingles", "tiles", "own")
-    got = {r["doc_id"]: r for r in n.near_duplicates(docs, tile=tile).collect()}
+    got = {r["doc_id"]: r for r in n.near_duplicates(docs, tile=tile, hubs=hubs).collect()}
     want = n.reference_components(rows + extra)
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_regular_words_are_told_apart(make, letters):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(letters))
+    texts = [(1, f"a b c d {one}"), (2, f"a b c d {one.translate(str.maketrans('ab', 'ba'))}"), (3, f"A b c d {one}")]
+    assert {r["doc_id"]: r["component_id"] for r in n.near_duplicates(make(texts)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_members_further_than_the_hub_allows(make):
+    """A chain whose ends are far apart, and a hub that is near to none of two alike."""
+    words = [f"w{i}" for i in range(200)]
+    edit = lambda places: " ".join("x" + w if k in places else w for k, w in enumerate(words))
+    chain = [(1 + k, edit(set(range(3 * k, 3 * k + 3)))) for k in range(8)]
+    far = [(0, edit(set(range(0, 200, 40))))]
+    rows = [*far, *chain, (50, edit({60, 100, 140})), (51, edit({60, 100, 140, 141}))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in n.near_duplicates(make(rows)).collect()}
+    assert got == n.reference_components(rows)
+
+
+def test_a_large_family_moves_in_proportion(make, spark):
+    """Texts that go to a verifying task: a few a document, however large the family."""
+    rng = random.Random(4)
+    counts = {}
+    for size in (300, 1200):
+        docs = make(random.Random(1).sample(family(rng, size, 1, 120), size))
+        classes = n.sketches(docs).where("n_shingles > 0").select(n.F.col("doc_id").alias("id"), "sub_keys")
+        found = n.buckets(classes)
+        texts = docs.select(n.F.col("doc_id").alias("id"), "text")
+        links, doubts = n.hub_links(found, texts, n.SHINGLE, n.LEAST, 64, n.HUBS)
+        components = n.connected_components(links)
+        members = n.families(components, doubts)
+        moved = links.count() + (n.tiled(members, 64).count() if members is not None else 0)
+        counts[size] = moved / size
+    assert counts[1200] < 1.5 * counts[300] < 6
+
+
 def test_repeated_ids_and_null_ids(make):
     docs = make([(1, "a b c d e f"), (1, "a b c d e f"), (1, "q r s t u v"), (2, "q r s t u v"), (None, "q r s t u v"), (3, None), (3, None)])
     got = [tuple(r) for r in n.near_duplicates(docs).collect()]
