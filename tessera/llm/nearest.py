@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of CURVES curves has its own random orthonormal projection to DIMENSIONS numbers and its own shift; a vector's key on it is its place on the
-Hilbert curve through the shifted grid, with a hash of the id below it so that equal keys still split. A curve's keys are cut
-into ranges of about RANGE_ROWS rows at quantiles of a sample, and range by range the rows go to one group (range partitioning by
-known bounds: no sort is needed). Queries also go to the `reach` ranges on either side of their own. A group scores its queries against
-its rows, exactly and in double precision, and returns the best k of each; the merge over groups drops repeats and ranks.
+Hilbert curve through the shifted grid, with a hash of the id below it so that equal keys still spread. A key's position is the share of rows
+before it, interpolated between KNOTS quantiles of a sample, so a curve can be cut into any number of ranges of about RANGE_ROWS rows without
+a table of bounds. Range by range the rows go to one group; a query goes to the ranges that its window touches, on every curve. A group is
+sorted by position, queries first, and is read in segments of SEGMENT rows: each query is scored against the rows inside its window only, exactly and in
+double precision, and the best k of a segment are returned; the merge over curves drops repeats and ranks. So memory does not depend on how many rows
+fall into a range.
 
-How far a neighbour lies along a curve depends on the data: a few rows where vectors cluster, a large part of the curve where
-they are spread evenly in many dimensions. So `reach` is fitted: for PROBES vectors the true neighbours are found by a scan,
-and the smallest reach is taken at which a share of at least RECALL of them lies within reach on some curve. The fit reads all rows once,
-sends PROBES * k rows to the driver, and behaves alike at every size.
+How far a neighbour lies along a curve depends on the data: a few rows where vectors cluster, a part of the curve where they are spread evenly in
+many dimensions. So the half width of the windows is fitted: for PROBES vectors the true neighbours are found by a scan, and the smallest
+half width is taken at which a share of at least RECALL of them lies within it on some curve. The fit reads all rows once, sends PROBES * k
+rows to the driver, and behaves alike at every size. A query is scored against CURVES * 2 * half width of all rows at most.
 
-Bounds: the sample that fits the ranges has at most SAMPLE rows and the probes at most PROBES; every row is indexed. Groups hold about RANGE_ROWS
-rows and the queries near them, whatever the data.
+Bounds: the sample that fits the curves has about SAMPLE rows and the probes about PROBES (twice that at most); every row is indexed.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components take no part; rows
-with equal ids but other vectors are candidates of their own, the query's own id is never its neighbour; ties go to the smaller id; with
-fewer than k candidates all are returned; an empty table gives an empty result; other columns are ignored.
+with equal ids are one candidate, the nearest of them (as are queries with equal ids), and an id is never its own neighbour; ties go to the smaller id;
+distances of huge or tiny components are scaled before they are squared; with fewer than k candidates all are returned; a table of at most RANGE_ROWS rows is
+searched whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +31,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm import textkit
 from tessera.llm.shared import materialise, shuffle_partitions, tune
 
 CURVES = 16
-DIMENSIONS = 12
-BITS = 4
+DIMENSIONS = 6
+BITS = 6
 RANGE_ROWS = 1024
-MOST_RANGES = 1 << 12
+SEGMENT = 4096
 SAMPLE = 1 << 15
+KNOTS = 1 << 12
 PROBES = 200
-RECALL = 0.96
+RECALL = 0.95
 SEED = 7
 
 
@@ -78,37 +82,41 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 class Curves:
-    """The fitted curves: projections, shifts, the grid's scale, and each curve's range bounds."""
+    """The fitted curves: projections, shifts, the grid's scale, and quantiles of each curve's keys."""
 
     def __init__(self, sample: np.ndarray, rows: int, curves: int = CURVES, dimensions: int = DIMENSIONS, range_rows: int = RANGE_ROWS):
         rng = np.random.default_rng(SEED)
         dimension = sample.shape[1]
         m = min(dimensions, dimension)
         self.projections = np.stack([np.linalg.qr(rng.standard_normal((dimension, m)))[0] for _ in range(curves)])
-        spread = np.abs(sample @ self.projections[0] - sample.mean(axis=0) @ self.projections[0])
+        self.unit = max(float(np.abs(sample).max()), 1e-300)  # so that huge components stay finite
+        sample = sample / self.unit
         self.centre = sample.mean(axis=0)
-        self.scale = max(float(np.quantile(spread, 0.99)), 1e-12)
+        self.scale = max(float(np.quantile(np.abs((sample - self.centre) @ self.projections[0]), 0.99)), 1e-12)
         self.shifts = rng.uniform(-0.35, 0.35, (curves, m))
-        ranges = int(min(max(1, -(-rows // range_rows)), MOST_RANGES))
-        at = (np.arange(1, ranges) * len(sample)) // ranges
-        keys = self.keys(sample, np.arange(len(sample)))
-        self.bounds = [np.sort(keys[c])[at] for c in range(curves)]
-        self.ranges = ranges
+        self.ranges = max(1, -(-rows // range_rows))
+        keys = np.sort(self.keys(sample * self.unit, np.arange(len(sample))), axis=1).astype(np.float64)
+        at = np.linspace(0, len(sample) - 1, min(KNOTS, len(sample))).astype(np.int64)
+        self.knots, self.shares = keys[:, at], (at + 0.5) / len(sample)
 
     def keys(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """(curves, rows) keys: 48 bits of curve, 16 of a hash of the id."""
+        """(curves, rows) keys below 2**52: the place on the curve and 16 bits of a hash of the id."""
         salt = (ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        flat = vectors / self.unit - self.centre
         out = []
         for projection, shift in zip(self.projections, self.shifts, strict=True):
-            grid = ((vectors - self.centre) @ projection / self.scale + shift) * 0.4 + 0.5
+            grid = (np.clip(flat @ projection / self.scale, -1e6, 1e6) + shift) * 0.4 + 0.5
             cells = np.clip((grid * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
-            key = hilbert(cells) << np.uint64(64 - BITS * cells.shape[1])
-            out.append(key | salt if BITS * cells.shape[1] <= 48 else key)
+            out.append(hilbert(cells) << np.uint64(16) | salt)
         return np.stack(out)
 
-    def places(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """(curves, rows) numbers of ranges."""
-        return np.stack([np.searchsorted(b, k, "right") for b, k in zip(self.bounds, self.keys(vectors, ids), strict=True)])
+    def positions(self, vectors: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """(curves, rows) shares of all rows that come before."""
+        return np.stack([np.interp(k.astype(np.float64), x, self.shares) for k, x in zip(self.keys(vectors, ids), self.knots, strict=True)])
+
+    def places(self, positions: np.ndarray) -> np.ndarray:
+        """Numbers of ranges."""
+        return np.clip((positions * self.ranges).astype(np.int64), 0, self.ranges - 1)
 
 
 def _matrix(column) -> np.ndarray:
@@ -116,26 +124,37 @@ def _matrix(column) -> np.ndarray:
 
 
 def exact_distances(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Euclidean distances in double precision, from the differences."""
-    d = vectors - query
-    return np.sqrt((d * d).sum(axis=1))
+    """Euclidean distances in double precision, from the differences; scaled where squares would leave the range of doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = vectors - query
+        out = np.sqrt((d * d).sum(axis=1))
+        largest = np.abs(d).max(axis=1, initial=0)
+        odd = (largest > 0) & ((largest > 1e150) | (largest < 1e-150))
+        if odd.any():
+            unit = largest[odd]
+            out[odd] = unit * np.sqrt(((d[odd] / unit[:, None]) ** 2).sum(axis=1))
+    return out
 
 
 def best(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, own: int, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, distances) of the k nearest by exact distance, then id. rough: squared distances up to rounding; only rows near the k-th are measured."""
-    rough = np.where(ids == own, np.inf, rough)
-    if len(rough) > k:
+    """(ids, distances) of the k nearest by exact distance, then id. rough: squared distances up to rounding, infinite for rows that are out; only rows
+    near the k-th are measured, and all if a rough one is not a number."""
+    out = (ids == own) | (rough == np.inf)
+    if len(rough) > k and not np.isnan(rough).any():
+        rough = np.where(out, np.inf, rough)
         limit = np.partition(rough, k - 1)[k - 1]
-        near = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit)) + 1e-6 * np.abs(query).max() ** 2)
+        near = np.flatnonzero(~out & (rough <= limit + 1e-9 * (1 + abs(limit)) + 1e-6 * np.abs(query).max() ** 2))
     else:
-        near = np.arange(len(rough))
-    near = near[np.isfinite(rough[near])]
+        near = np.flatnonzero(~out)
     distance = exact_distances(query, vectors[near])
     order = np.lexsort((ids[near], distance))[:k]
     return ids[near][order], distance[order]
 
 
 def _rough(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Squared distances up to rounding; not numbers where squares leave the range of doubles."""
+    if max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) > 1e150:
+        return np.full((len(queries), len(vectors)), np.nan)
     return (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1)[None, :] - 2 * queries @ vectors.T
 
 
@@ -165,29 +184,27 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _sampled(rows: DataFrame, count: int, most: int, salt: int) -> pd.DataFrame:
-    """At most about `most` rows, by a hash of the id."""
+    """About `most` rows (twice that at most) by a hash of id and vector; where many rows are alike and none is met, the first ones."""
     share = min(1.0, most / max(count, 1))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return picked.orderBy("vec_id").toPandas()
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", "vector", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = picked.limit(2 * most).toPandas()
+    return (found if len(found) else rows.limit(most).toPandas()).sort_values("vec_id", kind="stable", ignore_index=True)
 
 
-def fitted(rows: DataFrame, k: int, recall: float = RECALL, probes: int = PROBES, **sizes) -> tuple[Curves, int]:
-    """The curves and the reach for rows (vec_id, vector)."""
+def fitted(rows: DataFrame, k: int, recall: float = RECALL, probes: int = PROBES, **sizes) -> tuple[Curves, float]:
+    """The curves and the half width of the windows for rows (vec_id, vector)."""
     count = rows.count()
-    sample = _sampled(rows, count, SAMPLE, 1)
-    curves = Curves(_matrix(sample["vector"]) if len(sample) else _matrix(rows.limit(1).toPandas()["vector"]), count, **sizes)
-    few = _sampled(rows, count, probes, 2)
-    if curves.ranges == 1 or not len(few):
-        return curves, 0
-    true = scan_neighbours(rows, few, k).select("query_id", "vec_id")
-    near = materialise(true, "probe-neighbours")  # probes * k rows
+    curves = Curves(_matrix(_sampled(rows, count, SAMPLE, 1)["vector"]), count, **sizes)
+    if curves.ranges == 1:
+        return curves, 1.0
+    few = _sampled(rows, count, probes, 2).drop_duplicates("vec_id")
+    near = materialise(scan_neighbours(rows, few, k).select("query_id", "vec_id"), "probe-neighbours")  # probes * k rows
     vectors = rows.join(near.select("vec_id").distinct(), "vec_id", "left_semi").dropDuplicates(["vec_id"]).toPandas().set_index("vec_id")
     pairs = near.toPandas()
-    of_neighbours = pd.Series(list(curves.places(_matrix(vectors["vector"]), vectors.index.to_numpy()).T), vectors.index)
-    own = few.drop_duplicates("vec_id").set_index("vec_id")
-    of_probes = pd.Series(list(curves.places(_matrix(own["vector"]), own.index.to_numpy()).T), own.index)
+    at = lambda df, ids: pd.Series(list(curves.positions(_matrix(df["vector"]), ids).T), ids)
+    of_neighbours, of_probes = at(vectors, vectors.index.to_numpy()), at(few, few["vec_id"].to_numpy())
     apart = np.abs(np.stack(pairs["query_id"].map(of_probes)) - np.stack(pairs["vec_id"].map(of_neighbours))).min(axis=1)
-    return curves, int(np.quantile(apart, recall, method="higher"))
+    return curves, float(np.quantile(apart, recall, method="higher"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = RECALL, id_column: str = "vec_id", vector_column: str = "embedding", **sizes) -> DataFrame:
@@ -203,7 +220,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
     rows = named.where(usable(F.col("vector"), dimension))
     if rows.limit(1).count() == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    curves, reach = fitted(rows.select("vec_id", "vector"), k, recall, **sizes)
+    curves, half = fitted(rows.select("vec_id", "vector"), k, recall, **sizes)
     sent = spark.sparkContext.broadcast(curves)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,60 +229,74 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = R
             if not batch.num_rows:
                 continue
             ids, asked = np.asarray(batch.column("vec_id")), np.asarray(batch.column("is_query").to_numpy(zero_copy_only=False), bool)
-            flat = batch.column("vector").flatten()
-            x = np.asarray(flat).reshape(len(ids), -1)
-            for curve, place in enumerate(c.places(x.astype(np.float64), ids)):
-                rows = [np.arange(len(ids))]
-                ranges, queries = [place], [np.zeros(len(ids), bool)]
-                q = np.flatnonzero(asked)
-                for step in range(-reach, reach + 1):
-                    to = place[q] + step
-                    good = (to >= 0) & (to < c.ranges)
-                    rows.append(q[good])
-                    ranges.append(to[good])
-                    queries.append(np.ones(good.sum(), bool))
-                at = np.concatenate(rows)
-                values = pa.array(x[at].reshape(-1))
-                vector = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(at) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), values)
-                yield pa.RecordBatch.from_pydict({"curve": pa.array(np.full(len(at), curve, np.int32)), "place": pa.array(np.concatenate(ranges).astype(np.int32)), "asks": pa.array(np.concatenate(queries)), "vec_id": pa.array(ids[at]), "vector": vector})
-
-    dealt = rows.mapInArrow(deal, f"curve int, place int, asks boolean, vec_id long, vector {kind}")
-    parts = max(shuffle_partitions(spark), min(len(curves.bounds) * curves.ranges // 8, 8 * shuffle_partitions(spark)))
-    dealt = dealt.repartition(parts, "curve", "place").sortWithinPartitions("curve", "place", "asks")
+            x = np.asarray(batch.column("vector").flatten()).reshape(len(ids), -1)
+            q = np.flatnonzero(asked)
+            for curve, position in enumerate(c.positions(x.astype(np.float64), ids)):
+                first, last = c.places(position[q] - half), c.places(position[q] + half)
+                touched = textkit.gather_ranges(first, last - first + 1)
+                at = np.concatenate([np.arange(len(ids)), np.repeat(q, last - first + 1)])
+                for lo in range(0, len(at), SEGMENT):
+                    own = at[lo : lo + SEGMENT]
+                    vector = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * x.shape[1], x.shape[1], dtype=np.int32)), pa.array(x[own].reshape(-1)))
+                    place = np.concatenate([c.places(position), touched])[lo : lo + SEGMENT]
+                    yield pa.RecordBatch.from_pydict(
+                        {"curve": pa.array(np.full(len(own), curve, np.int32)), "place": pa.array(place), "asks": pa.array(np.arange(lo, lo + len(own)) >= len(ids)), "position": pa.array(position[own]), "vec_id": pa.array(ids[own]), "vector": vector}
+                    )
+
+    dealt = rows.mapInArrow(deal, f"curve int, place long, asks boolean, position double, vec_id long, vector {kind}")
+    parts = max(shuffle_partitions(spark), min(len(curves.knots) * curves.ranges // 8, 8 * shuffle_partitions(spark)))
+    dealt = dealt.repartition(parts, "curve", "place").sortWithinPartitions("curve", "place", F.desc("asks"), "position")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        group = None
+        group, asked, held, size = None, [], [], 0
 
         def close() -> pa.RecordBatch | None:
-            if not held:
+            """The best of the held rows for the group's queries."""
+            nonlocal size
+            if not asked or not held:
+                held.clear()
+                size = 0
                 return None
-            ids, x, asks = (np.concatenate(v) for v in zip(*held, strict=True))
+            if len(asked) > 1:
+                asked[:] = [tuple(np.concatenate(v) for v in zip(*asked, strict=True))]
+            own, queries, centre = asked[0]
+            ids, x, position = (np.concatenate(v) for v in zip(*held, strict=True))
             x = x.astype(np.float64)
-            if not asks.any() or asks.all():
-                return None
-            own, queries = ids[asks], x[asks]
-            ids, x = ids[~asks], x[~asks]
+            held.clear()
+            size = 0
+            first, last = np.searchsorted(position, centre - half, "left"), np.searchsorted(position, centre + half, "right")
             out = []
-            for lo in range(0, len(own), 256):
-                rough = _rough(queries[lo : lo + 256], x)
-                out += [(q, *best(queries[lo + i], x, ids, q, rough[i], k)) for i, q in enumerate(own[lo : lo + 256])]
+            hits = np.flatnonzero(last > first)
+            for lo in range(0, len(hits), 256):
+                some = hits[lo : lo + 256]
+                a, b = int(first[some].min()), int(last[some].max())
+                rough = _rough(queries[some].astype(np.float64), x[a:b])
+                place = np.arange(a, b)
+                rough[(place[None, :] < first[some][:, None]) | (place[None, :] >= last[some][:, None])] = np.inf
+                out += [(own[i], *best(queries[i].astype(np.float64), x[a:b], ids[a:b], own[i], rough[n], k)) for n, i in enumerate(some)]
+            if not out:
+                return None
             return pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat([p[0] for p in out], [len(p[1]) for p in out]).astype(np.int64)), "vec_id": pa.array(np.concatenate([p[1] for p in out])), "score": pa.array(np.concatenate([p[2] for p in out]))})
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            curve, place = np.asarray(batch.column("curve")), np.asarray(batch.column("place"))
-            cuts = np.flatnonzero((np.diff(curve) != 0) | (np.diff(place) != 0)) + 1
+            curve, place, asks = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False)) for c in ("curve", "place", "asks"))
+            cuts = np.flatnonzero((np.diff(curve) != 0) | (np.diff(place) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
             x = np.asarray(batch.column("vector").flatten()).reshape(batch.num_rows, -1)
-            ids, asks = np.asarray(batch.column("vec_id")), np.asarray(batch.column("asks").to_numpy(zero_copy_only=False), bool)
+            ids, position = np.asarray(batch.column("vec_id")), np.asarray(batch.column("position"))
             for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if group != (curve[a], place[a]):
+                if group != (curve[a], place[a]) or size >= SEGMENT:
                     if (made := close()) is not None:
                         yield made
-                    held.clear()
+                if group != (curve[a], place[a]):
+                    asked.clear()
                     group = (curve[a], place[a])
-                held.append((ids[a:b], x[a:b], asks[a:b]))
+                if asks[a]:
+                    asked.append((ids[a:b], x[a:b], position[a:b]))
+                else:
+                    held.append((ids[a:b], x[a:b], position[a:b]))
+                    size += b - a
         if (made := close()) is not None:
             yield made
 

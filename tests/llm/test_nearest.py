@@ -50,6 +50,33 @@ def test_recall_with_many_ranges(spark, spread):
     assert hits / total >= 0.9
 
 
+def test_fewer_rows_are_scored_than_by_a_scan(spark):
+    x = np.random.default_rng(5).standard_normal((20_000, 24)).astype(np.float32) * np.linspace(1, 0.1, 24, dtype=np.float32)
+    rows = table(spark, x).select("vec_id", F.col("embedding").alias("vector"))
+    curves, half = n.fitted(rows, 10)
+    assert curves.ranges == 20 and n.CURVES * 2 * half < 0.7
+    positions = curves.positions(x.astype(np.float64), np.arange(len(x)))
+    assert all(np.bincount(curves.places(p), minlength=20).max() < 2 * n.RANGE_ROWS for p in positions)
+
+
+def test_repeated_rows_and_ids(spark):
+    x = np.random.default_rng(6).standard_normal((3000, 6)).astype(np.float32)
+    ids = [0] * 1500 + [100] * 1000 + list(range(1, 501))
+    got = results(n.nearest(table(spark, x, ids), F.col("vec_id") % 100 == 0, range_rows=100))
+    assert all(len({i for i, _ in v}) == 10 and q not in {i for i, _ in v} for q, v in got.items())
+    alike = results(n.nearest(table(spark, np.ones((3000, 4), np.float32), [7] * 2000 + [100] * 1000), F.col("vec_id") % 100 == 0, range_rows=100))
+    assert alike == {100: [(7, 0.0)]}
+
+
+def test_huge_and_tiny_components(spark):
+    for unit in (1e160, 3e300, 1e-160):
+        rows = [(i, [unit * (i % 7 + 1), unit * i, unit]) for i in range(40)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = results(n.nearest(df, F.col("vec_id") == 0))
+        want = sorted((float(np.hypot(i % 7 + 1 - 1, i)), i) for i in range(1, 40))[:10]
+        assert [i for i, _ in got[0]] == [i for _, i in want] and np.allclose([s / unit for _, s in got[0]], [d for d, _ in want])
+
+
 def test_one_common_vector(spark):
     x = np.random.default_rng(3).standard_normal((3000, 8)).astype(np.float32)
     x[500:2500] = x[500]
