@@ -1,7 +1,8 @@
 """Mixing sources to target weights.
 
 Tokens are summed per source, a source's target gives its repetition rate, and each document goes out floor(rate) times plus
-once more with a chance of the remaining fraction, decided by a hash of the seed and its id. All of it is DataFrame code.
+once more with a chance of the remaining fraction, decided by a hash of the seed, its id and its text, so rows with one id, or none, are decided
+each for itself. All of it is DataFrame code.
 
 Targets: the mix has `share` times all words. Sources, ordered by code point with null last, weigh `weights` in turn; none gets
 more than `most` times its own words, and what that leaves over goes to the others by weight. With sources ordered by
@@ -12,8 +13,8 @@ Shape of the plan: one partial aggregation by source, a window over the sources
 join of the documents with that table. The table is written first, so Spark knows its size and broadcasts it only when it is below
 the session's threshold; above it the join sorts, and a popular source's rows are split by adaptive execution.
 
-Defined results: a null text has size 0; null sources form one source; an empty table gives an empty result; rows with equal
-doc_id take the same decision; other columns are ignored by mix_plan and kept by mixed_documents.
+Defined results: a null text has size 0; null sources form one source; an empty table gives an empty result; rows equal in doc_id and
+text take the same decision; other columns are ignored by mix_plan and kept by mixed_documents.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_interval(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from 52 bits of the MD5 of seed and key: the same on every engine and run."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
+def unit_interval(seed: str, *keys: Column) -> Column:
+    """A number in [0, 1) from 52 bits of the MD5 of seed and keys: the same on every engine and run."""
+    parts = [F.coalesce(k.cast("string"), F.lit("null")) for k in keys]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *parts).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -70,7 +72,7 @@ def _with_copies(docs: DataFrame, weights, share, most, seed) -> DataFrame:
     )
     joined = docs.withColumn("mix_size", size_of(docs["text"])).join(targets, docs["source"].eqNullSafe(targets["mix_key"]))
     whole = F.floor("mix_rate")
-    extra = (unit_interval(F.col("doc_id"), seed) < F.col("mix_rate") - whole).cast("long")
+    extra = (unit_interval(seed, F.col("doc_id"), F.md5(F.col("text").cast("binary"))) < F.col("mix_rate") - whole).cast("long")
     return joined.withColumn("mix_copies", whole + extra).drop("mix_key", "mix_rate")
 
 
@@ -92,7 +94,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
 ORACLE_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, coalesce(md5(text), 'null') AS digest, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), ranked AS (
@@ -115,7 +117,7 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0) ELSE 0.0 END AS rate FROM targets
 ), planned AS (
   SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT)
-    + CASE WHEN CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
+    + CASE WHEN CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0
            < rate - floor(rate) THEN 1 ELSE 0 END AS copies
   FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 )

@@ -64,3 +64,12 @@ def test_registered_sql_is_text():
     from tessera.llm.queries import oracle_sql, queries
 
     assert set(oracle_sql()) <= set(queries()) and all(isinstance(x, str) for x in oracle_sql().values())
+
+
+@pytest.mark.parametrize("doc_id", [7, None])
+def test_one_id_for_all_rows_of_a_source(make, doc_id):
+    docs = make([(doc_id, f"w{i} " * (20 + i % 30), "a") for i in range(3000)] + [(i, "w " * 30, "b") for i in range(3000)])
+    plan = mixing.mix_plan(docs).collect()
+    for size in {r["source_size"] for r in plan}:
+        own = [r for r in plan if r["source_size"] == size]
+        assert sum(r["taken"] for r in own) == pytest.approx(own[0]["target"], rel=0.06)
