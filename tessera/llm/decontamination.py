@@ -1,8 +1,9 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
 Test phrases. A benchmark item gives every window of WINDOW consecutive words, or all its words as one window if it has fewer. Their distinct
-words are the alphabet. The phrases are compiled on the driver and broadcast; benchmark texts of more than BLOCK_BYTES are
-compiled in blocks by item, each with a pass of its own over the documents, so what is broadcast stays bounded.
+words are the alphabet. The phrases are compiled on the driver and broadcast. A benchmark of more than BLOCK_BYTES is compiled in blocks, each with a pass of its own
+whose result is written before the next block is made, and its long texts are cut into overlapping pieces with the same windows; so what the driver holds
+and broadcasts stays bounded for any benchmark.
 
 Index. A shard is a run of documents of about textkit.SLICE_BYTES. Its words are mapped to the alphabet; a word outside it can be
 in no phrase and ends a run, and runs shorter than the shortest phrase are left out, as no phrase fits. The remaining
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textkit
-from tessera.llm.shared import tune
+from tessera.llm.shared import materialise, tune
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -248,14 +249,44 @@ def hits(phrases: Phrases, data: np.ndarray, offsets: np.ndarray, earlier: list[
     return Found(w, np.stack([text_of(a), a, b], axis=1), pairs)
 
 
-def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phrases]:
-    rows = benchmark.select("item_id", "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def pieces(benchmark: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, text): benchmark with texts above `most` bytes cut at words into overlapping pieces that have the same windows."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, parts = [], []
+            for i, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                raw = (text or "").encode()
+                if len(raw) <= most:
+                    ids.append(i)
+                    parts.append(text)
+                    continue
+                data = np.frombuffer(raw, np.uint8)
+                w = textkit.words_of(data, np.array([0, len(data)]), textkit.alnum_words())
+                n, a = len(w.starts), 0
+                while a < n:
+                    b = min(n, max(a + window, int(np.searchsorted(w.ends, w.starts[a] + most, "right"))))
+                    ids.append(i)
+                    parts.append(raw[w.starts[a] : w.ends[b - 1]].decode())
+                    a = n if b == n else b - window + 1
+            for k in range(0, len(ids), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 64], batch.schema.field("item_id").type), pa.array(parts[k : k + 64], pa.string())], ["item_id", "text"])
+
+    rows = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(cut, rows.schema)
+
+
+def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[tuple[Phrases, bool]]:
+    """(compiled phrases, whether more blocks follow); a block holds about block_bytes of text."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
+    rows = benchmark.select("item_id", "text")
+    if n > 1:
+        rows = materialise(pieces(rows, window, max(1, block_bytes // 8)), "benchmark-pieces")
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         found = part.collect()  # about block_bytes
-        yield compile_phrases([r[0] for r in found], [r[1] for r in found], window)
+        yield compile_phrases([r[0] for r in found], [r[1] for r in found], window), k + 1 < n
 
 
 _SPAN = "array<struct<start:int,end:int>>"
@@ -271,7 +302,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
     out = docs
     schema = T.StructType([*docs.schema.fields, *extra.fields])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for k, compiled in enumerate(_blocks(benchmark, window, block_bytes)):
+    for k, (compiled, more) in enumerate(_blocks(benchmark, window, block_bytes)):
         sent = spark.sparkContext.broadcast(compiled)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent, again=k > 0) -> Iterator[pa.RecordBatch]:
@@ -305,6 +336,10 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
                 yield pa.RecordBatch.from_arrays([*own, *made], [*names, _ITEMS, _STATE, "dc_words", "dc_hit", "dc_cut"])
 
         out = out.mapInArrow(scan, schema)
+        if more:  # a block's phrases leave driver and workers before the next are made
+            out = materialise(out, "decontamination-block")
+            sent.destroy()
+            del compiled
     return out
 
 

@@ -40,6 +40,27 @@ def test_random_texts(make, spark):
     check(d.overlaps(make(rows), spark.createDataFrame(items, "item_id long, text string")), rows, items)
 
 
+def test_long_items_are_cut_into_pieces_with_the_same_windows(make, spark):
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randint(0, 40)}" for _ in range(900)) + " é"
+    items = [(1, long), (2, "w1 w2 w3"), (None, long[:400])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    cut = d.pieces(table, 10, 200).collect()
+    assert len(cut) > 15 and max(len((r["text"] or "").encode()) for r in cut) <= 200
+    words = long.split()
+    rows = [(i, " ".join([*(f"x{k}" for k in range(i % 3)), *words[(i * 37) % 880 :][: 8 + i % 30]])) for i in range(60)]
+    check(d.overlaps(make(rows), table, block_bytes=1000), rows, items)
+
+
+@pytest.mark.parametrize("letters", [1024, 2048, 4096])
+def test_regular_words_are_told_apart(make, spark, letters):
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(letters))
+    other = one.translate(str.maketrans("ab", "ba"))
+    items = [(1, f"this is {one}")]
+    rows = [(1, f"this is {other}"), (2, f"so this is {one}")]
+    check(d.overlaps(make(rows), spark.createDataFrame(items, "item_id long, text string")), rows, items)
+
+
 def test_index_finds_every_place():
     rng = np.random.default_rng(4)
     text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in rng.integers(1, 30, 40)])
