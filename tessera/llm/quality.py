@@ -155,7 +155,7 @@ WEIGHTS = BUCKETS + 5 * len(LABELERS) + 1  # the last is the bias
 def vote_patterns(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per document: its votes, and the features of those in the training sample."""
     count = docs.count()
-    chosen = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, train_rows / max(count, 1)) * (1 << 30)), F.lit(False))
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, train_rows / max(count, 1)) * (1 << 30))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +205,9 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, dict
     voted = materialise(vote_patterns(docs, train_rows), "quality-votes")
     counts = {r["votes"]: float(r["count"]) for r in voted.groupBy("votes").count().collect()}  # at most 3 ** 8 rows
     post, _, _ = reliabilities(counts, [(0, 1)] * len(LABELERS), silence=False)
-    sample = voted.where("places is not null").toArrow()  # about train_rows rows
+    sample = voted.where("places is not null").limit(2 * train_rows).toArrow()  # about train_rows rows; more only where many rows are alike
+    if not len(sample) and counts:  # few different rows, and the hash met none of them
+        sample = vote_patterns(docs.limit(train_rows), train_rows).toArrow()
     lists = sample["places"].combine_chunks()
     places = np.split(np.asarray(lists.flatten()), np.asarray(lists.offsets)[1:-1] - np.asarray(lists.offsets)[0]) if len(lists) else []
     rows = [(p, post[v]) for p, v in zip(places, sample["votes"].to_pylist(), strict=True)]

@@ -23,9 +23,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset (as in tests) a new local one."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or where it is unset and all run in one process (as in tests) a new local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(spark.sparkContext, "_tessera_shared", None)
         if at is None:
             at = spark.sparkContext._tessera_shared = "file://" + tempfile.mkdtemp(prefix="tessera-")
