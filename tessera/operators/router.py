@@ -43,6 +43,10 @@ class RouterConfig:
             raise ValueError("at least one band is needed")
 
 
+#: Queries times shards that are scored at a time.
+ROUTE_CELLS = 4 << 20
+
+
 @dataclass(frozen=True)
 class Routes:
     """Of each query: the chosen shards, best first, all shards' scores with their bounds, and how they came about."""
@@ -148,6 +152,11 @@ class Router:
         """Route a matrix of queries; a single one is a matrix of one row."""
         return self._route(self.prepared(queries), self._probe(probe), only_exact=self.config.metric != "cosine")
 
+    @property
+    def some_queries(self) -> int:
+        """How many queries are routed at a time: each takes some matrices with a column a shard."""
+        return max(1, ROUTE_CELLS // self.shards)
+
     def _probe(self, probe: int | None) -> int:
         count = self.config.probe_shards if probe is None else int(probe)
         if not 1 <= count <= self.shards:
@@ -210,9 +219,10 @@ class Router:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                if len(frame):
-                    r = sent.value.route(np.stack(frame["vector"].to_numpy()), probe)
-                    yield pd.DataFrame({"query_id": frame["query_id"], "shard_ids": list(r.shard_ids), "scores": list(r.scores), "lower": list(r.lower), "upper": list(r.upper), "used_band": r.used_band, "certified": r.certified, "fallback": r.fallback, "route_mode": r.modes})
+                for lo in range(0, len(frame), sent.value.some_queries):
+                    some = frame.iloc[lo : lo + sent.value.some_queries]
+                    r = sent.value.route(np.stack(some["vector"].to_numpy()), probe)
+                    yield pd.DataFrame({"query_id": some["query_id"].to_numpy(), "shard_ids": list(r.shard_ids), "scores": list(r.scores), "lower": list(r.lower), "upper": list(r.upper), "used_band": r.used_band, "certified": r.certified, "fallback": r.fallback, "route_mode": r.modes})
 
         return queries.select("query_id", "vector").mapInPandas(run, ROUTE_SCHEMA)
 

@@ -6,7 +6,7 @@ A vector table has (id, vector, shard_id); vectors are arrays of doubles. A shar
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import clip, distance, dot, is_valid, mean_vector, normalized
@@ -56,6 +56,17 @@ def matrix(df: DataFrame, key: str, vector: str, limit: int = MATRIX_BYTES) -> t
     return [r[0] for r in found], np.array([r[1] for r in found], float).reshape(len(found), -1)
 
 
+#: Rows of a shard that go to one task, and so to one file, when a vector table is written.
+FILE_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
+    """rows laid out for a table partitioned by shard: a shard's rows lie together, but a large one is split among tasks by a hash of the id."""
+    parts = shard_counts(rows).select(F.col("shard_id").alias("dealt_shard"), F.ceil(F.col("item_count") / F.lit(file_rows)).alias("dealt_parts"))
+    joined = rows.join(parts, rows["shard_id"] == parts["dealt_shard"])
+    return joined.repartition("shard_id", F.pmod(F.xxhash64("id"), F.col("dealt_parts"))).select(*rows.columns)
+
+
 def assign(rows: DataFrame, centers: np.ndarray) -> DataFrame:
     """rows with the nearest center's number as shard_id and its similarity; centers are unit vectors, broadcast within MATRIX_BYTES."""
     if centers.nbytes > MATRIX_BYTES:
@@ -83,8 +94,9 @@ def repair_empty(assigned: DataFrame, shard_count: int) -> DataFrame:
     empty = [s for s in range(shard_count) if s not in used]
     if not empty:
         return assigned
-    order = Window.partitionBy("shard_id").orderBy("similarity", "id")
-    spare = assigned.withColumn("place", F.row_number().over(order)).join(shard_counts(assigned), "shard_id").where("place < item_count")
+    # all but the nearest member of each shard may go; a maximum a shard and a top-k, so no shard is sorted
+    last = assigned.groupBy("shard_id").agg(F.max(F.struct("similarity", "id")).alias("last"))
+    spare = assigned.join(last, "shard_id").where(F.struct("similarity", "id") != F.col("last"))
     moved = [r["id"] for r in spare.orderBy("similarity", "id").limit(len(empty)).select("id").collect()]
     if len(moved) < len(empty):
         raise ValueError("there are fewer vectors than shards")

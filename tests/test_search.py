@@ -173,7 +173,7 @@ def test_baselines(world):
 
 def test_lsh_is_part_of_the_exact_result(world):
     x, _, rows, q, queries = world
-    got = found(local_index.lsh_topk(rows, queries, 5, tables=16, bucket=2.0))
+    got = found(local_index.lsh_topk(rows, queries, 5))
     scores = np.round(x @ q.T, 6)
     assert all(s == pytest.approx(scores[i, k]) for k, line in got.items() for i, s in line)
     exact = found(search.block_topk(rows, queries, 5))
@@ -184,6 +184,66 @@ def test_lsh_is_part_of_the_exact_result(world):
         local_index.chosen_backend("magic", 1, 1)
 
 
+def test_lsh_meets_few_rows_and_most_neighbours(spark):
+    rng = np.random.default_rng(8)
+    centers = rng.standard_normal((60, 32))
+    x = centers[rng.integers(0, 60, 6000)] + 0.25 * rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    queries = rows.where("id % 200 = 0").withColumnRenamed("id", "query_id")
+    met = local_index.lsh_candidates(rows, queries).select("query_id", "id").distinct().count()
+    assert met < 0.25 * 6000 * 30
+    got, exact = found(local_index.lsh_topk(rows, queries, 10)), found(search.block_topk(rows, queries, 10))
+    assert sum(len({i for i, _ in got[k]} & {i for i, _ in line}) for k, line in exact.items()) >= 0.9 * 300
+
+
+def test_sign_tables_probe_the_least_sure_signs_first():
+    planes = np.eye(3)[None, :, :]
+    tables = local_index.SignTables(planes)
+    assert tables.keys(np.array([[0.1, -0.2, 0.9]]), 4).tolist() == [[[5, 4, 7, 6]]]
+    assert tables.keys(np.array([[0.1, -0.2, 0.9]])).tolist() == [[[5]]]
+
+
+def test_ranks_of_everything_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(q), int(i), float(rng.integers(0, 40)) / 40) for q in range(3) for i in range(200 * (q + 1))]
+    df = spark.createDataFrame(rows, "query_id long, id long, score double")
+    got = {(r["query_id"], r["id"]): r["rank"] for r in search.rank_all(df, 100).collect()}
+    for q in range(3):
+        own = sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))
+        assert [got[q, r[1]] for r in own] == list(range(1, len(own) + 1))
+    assert search.rank_all(df.limit(0)).count() == 0
+
+
+def test_best_cells_with_ties():
+    values = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [-np.inf] * 5, [0.0, 0.0, 0.0, 0.0, 0.0]])
+    row, column = search.best_cells(values, 2)
+    assert list(zip(row.tolist(), column.tolist(), strict=True)) == [(0, 1), (0, 2), (2, 0), (2, 1)]
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 5, (20, 30)).astype(float)
+    row, column = search.best_cells(values, 7)
+    want = np.argsort(-values, axis=1, kind="stable")[:, :7]
+    assert (column.reshape(20, 7) == want).all() and (row.reshape(20, 7) == np.arange(20)[:, None]).all()
+
+
+def test_scores_are_taken_in_bounded_blocks(world, monkeypatch):
+    _, _, rows, _, queries = world
+    want = found(search.block_topk(rows, queries, 5))
+    monkeypatch.setattr(search, "CELLS", 1)
+    assert found(search.block_topk(rows, queries, 5)) == want
+
+
+def test_large_shards_are_split_when_written(spark):
+    from tessera.operators import shards
+
+    rows = spark.range(5000).selectExpr("id", "array(1D) as vector", "cast(if(id < 4500, 0, id % 7) as int) as shard_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = shards.dealt(rows, 500).selectExpr("shard_id", "spark_partition_id() as p")
+    assert parts.where("shard_id = 0").select("p").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert shards.dealt(rows, 500).exceptAll(rows).count() == 0 and shards.dealt(rows, 500).count() == 5000
+
+
 def test_consistency(world):
     rows = world[2]
     local_index.check_consistency(rows, 8, 10)
