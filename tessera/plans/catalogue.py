@@ -1,7 +1,7 @@
 """Registered queries: every operator on the driver's tables, with its SQL where SQL can express it.
 
-The vectors are `embeddings`, their shard is `label` (ten shards, numbered like the labels), and the queries are the vectors of the `benchmark` items
-(item_id = vec_id): a stated list of queries that is searched in whole tables. Products are `part` with the vector of the same number.
+The vectors are `embeddings`, their shard is `label` (ten shards, numbered like the labels), and the queries are the vectors whose vec_id is divisible by 20: a stated
+set of queries that is searched in whole tables. Products are `part` with the vector of the same number.
 """
 
 from __future__ import annotations
@@ -35,10 +35,8 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, vector): item_id is unique in benchmark, so the join adds no rows."""
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    rows = _rows(spark, sf_dir).select(F.col("id").alias("query_id"), "vector")
-    return rows.join(items, "query_id", "left_semi")
+    """(query_id, vector) of every 20th id."""
+    return _rows(spark, sf_dir).where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector")
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +80,7 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def euclidean_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
-    queries = raw.select(F.col("id").alias("query_id"), "vector").join(items, "query_id", "left_semi")
+    queries = raw.where(F.col("id") % 20 == 0).select(F.col("id").alias("query_id"), "vector")
     return search.block_topk(raw, queries, TOP, "euclidean")
 
 
@@ -96,6 +93,14 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return local_index.lsh_topk(_rows(spark, sf_dir), _queries(spark, sf_dir), TOP)
 
 
+def lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the approximate local search against the exact one, and the rows it met."""
+    rows, queries = _rows(spark, sf_dir), _queries(spark, sf_dir)
+    measured = search.recall_precision(local_index.lsh_topk(rows, queries, TOP), search.block_topk(rows, queries, TOP), TOP)
+    met = local_index.lsh_candidates(rows, queries).select("query_id", "id").distinct().groupBy("query_id").agg(F.count("*").alias("rows_met"))
+    return measured.join(met, "query_id", "left").select("query_id", F.round("recall", 6).alias("recall"), F.coalesce("rows_met", F.lit(0)).alias("rows_met"))
+
+
 def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.block_topk(_rows(spark, sf_dir), _queries(spark, sf_dir), TOP, routes=_routes(spark, sf_dir))
 
@@ -129,8 +134,7 @@ def filtered_topk_post(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = _products(spark, sf_dir).where(Filters(brand="BRAND#11").condition())
     scored = search.pair_scores(products.select("id", "vector"), _queries(spark, sf_dir))
-    order = search.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.select("query_id", F.row_number().over(order).alias("rank"), "id", "score")
+    return search.rank_all(scored.select("query_id", "id", "score"))
 
 
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +180,14 @@ def kmeans_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.kmeans_shards(_rows(spark, sf_dir).select("id", "vector"), 16).select("id", "shard_id")
 
 
+def nearest_center(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's nearest center, the step that all clustering here repeats; the centers are those of the labels."""
+    numbers, centers = shards.matrix(_centers(spark, sf_dir), "shard_id", "centroid")
+    found = shards.assign(_rows(spark, sf_dir).select("id", "vector"), centers)
+    label = F.element_at(F.array(*[F.lit(n) for n in numbers]), F.col("shard_id") + 1)
+    return found.select("id", label.alias("shard_id"), (F.round("similarity", 6) + F.lit(0.0)).alias("similarity"))
+
+
 # Spectrum, certificates, routing -------------------------------------------------------------------------------------------
 
 
@@ -242,6 +254,14 @@ def adaptive_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "used_band", "certified", "fallback", "route_mode", F.array_join(F.array_sort("shard_ids"), ",").alias("shards"))
 
 
+def adaptive_route_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adaptive routing of the vectors' own queries among their shards."""
+    _, centers = shards.matrix(_centers(spark, sf_dir), "shard_id", "centroid")
+    router = Router.fit(centers, RouterConfig(shards=len(centers), bands=(1, 2), probe_shards=PROBE, ordering="identity"))
+    found = router.route_table(_queries(spark, sf_dir))
+    return found.select("query_id", "used_band", "certified", "fallback", "route_mode", F.array_join(F.array_sort("shard_ids"), ",").alias("shards"))
+
+
 def route_mode_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, centers = shards.matrix(_centers(spark, sf_dir), "shard_id", "centroid")
     router = Router.fit(centers, RouterConfig(shards=len(centers), bands=(1, 2), probe_shards=PROBE, ordering="identity"))
@@ -467,9 +487,9 @@ def streaming_shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REGISTERED = (
-    exact_topk, euclidean_topk, lsh_topk, exact_route, routed_topk, candidate_counts, recall_precision, calibration_by_probe, filtered_topk_pre, filtered_topk_post, all_results, page_2, product_lookup,
-    normalize_rows, shard_centroids, shard_radii, shard_counts, shard_metadata, kmeans_shards, spectrum, residuals, spectral_scores, score_intervals, interval_coverage, certify_topb, adaptive_route,
-    route_mode_counts, spectral_energy, ordering_quality, incremental_spectrum, remove_shard, merge_shard, add_shard, split_shard, ball_bounds, angular_bounds, min_distance_bounds, pruning_certificate,
+    exact_topk, euclidean_topk, lsh_topk, lsh_recall, exact_route, routed_topk, candidate_counts, recall_precision, calibration_by_probe, filtered_topk_pre, filtered_topk_post, all_results, page_2, product_lookup,
+    normalize_rows, shard_centroids, shard_radii, shard_counts, shard_metadata, kmeans_shards, nearest_center, spectrum, residuals, spectral_scores, score_intervals, interval_coverage, certify_topb, adaptive_route,
+    adaptive_route_vectors, route_mode_counts, spectral_energy, ordering_quality, incremental_spectrum, remove_shard, merge_shard, add_shard, split_shard, ball_bounds, angular_bounds, min_distance_bounds, pruning_certificate,
     import_valid, import_rejects, import_report, semantic_text, tokens, ngram_features, document_features, hash_embedding, document_embedding, lowrank_route, hierarchical_route, random_route, capacity_estimate, latency_summary,
     synthetic_catalog, category_balance, constraint_checks, streaming_shard_counts,
 )

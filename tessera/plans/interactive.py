@@ -95,8 +95,8 @@ def command(line: str, session: Session, shards: int) -> tuple[bool, str]:
     return True, session.status()
 
 
-def run(catalog: Catalog, session: Session | None = None, read: Callable[[str], str] = input, write: Callable[[str], None] = print) -> int:
-    """Read lines until the end; returns the number of searches."""
+def run(catalog: Catalog, session: Session | None = None, read: Callable[[str], str] = input, write: Callable[[str], None] = print, report: str | None = None) -> int:
+    """Read lines until the end; returns the number of searches. report: a log that each search is appended to."""
     session, searches = session or Session(), 0
     write(session.status())
     while True:
@@ -114,6 +114,8 @@ def run(catalog: Catalog, session: Session | None = None, read: Callable[[str],
             continue
         outcome = catalog.search_text(line, top_k=session.top_k, probe_shards=session.probe_shards, all_results=session.all_results, filters=session.filters)
         searches += 1
+        if report:
+            catalog.log_evaluation(outcome, report)
         results = outcome.results.persist()
         count, at = results.count(), 1
         write(f"{count} rezultate")

@@ -8,7 +8,7 @@ _PI2 = "2 * pi()"
 _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "emb": ((), "SELECT vec_id AS id, label AS shard_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"),
     "unit": (("emb",), "SELECT id, shard_id, [x / sqrt(list_dot_product(e, e)) FOR x IN e] AS v FROM emb"),
-    "asked": (("unit",), "SELECT id AS query_id, v AS q FROM unit WHERE id IN (SELECT item_id FROM benchmark)"),
+    "asked": (("unit",), "SELECT id AS query_id, v AS q FROM unit WHERE id % 20 = 0"),
     "elements": (("unit",), "SELECT id, shard_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM unit"),
     "means": (("elements",), "SELECT shard_id, i, avg(x) AS m FROM elements GROUP BY shard_id, i"),
     "sizes": (("unit",), "SELECT shard_id, count(*) AS item_count FROM unit GROUP BY shard_id"),
@@ -71,11 +71,14 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "numbers": ((), "SELECT range AS id, range % 256 + 1 AS category_id, ((range * 1103515245 + 42 * 12345 + (range % 256 + 1) * 2654435761) & 4294967295) AS mixed, range // 256 + 1 AS sequence FROM range((SELECT count(*) FROM part))"),
     "made": (
         ("numbers",),
-        "SELECT 'P' || lpad(CAST(id + 1 AS VARCHAR), 7, '0') AS product_id, category_id, printf('Departament %02d > Raion %02d-%02d', d, d, s) AS category, printf('Raion %02d-%02d', d, s) AS sub, sequence, 'Marca ' || chr(CAST(65 + mixed % 8 AS INTEGER)) AS brand, "
+        "SELECT 'P' || lpad(CAST(id + 1 AS VARCHAR), 7, '0') AS product_id, category_id, dep || ' > ' || dep || ' ' || ran AS category, dep || ' ' || ran AS sub, sequence, stem || ' ' || chr(CAST(65 + mixed % 8 AS INTEGER)) AS brand, "
         "['Start', 'Plus', 'Max', 'Pro', 'Ultra', 'Neo', 'Air', 'Eco'][(mixed >> 4) % 8 + 1] AS series, ['negru', 'alb', 'gri', 'roșu', 'albastru', 'verde', 'galben', 'maro', 'bej', 'mov', 'portocaliu', 'argintiu'][(mixed >> 8) % 12 + 1] AS color, "
         "['unisex', 'femei', 'bărbați', 'copii', 'familie'][(mixed >> 12) % 5 + 1] AS audience, (mixed + category_id) % 13 <> 0 AS in_stock, round(d * 5.0 + d * 495.0 * pow((mixed % 10000) / 9999.0, 1.35), 2) AS price_ron, "
         "['baterie de durată', 'materiale reciclate', 'montare ușoară', 'garanție extinsă', 'consum redus', 'design compact', 'protecție la apă', 'reglaj fin'] AS f, "
-        "['uz zilnic', 'birou', 'călătorii', 'sport', 'casă', 'grădină', 'școală', 'cadouri'][(mixed >> 25) % 8 + 1] AS use, mixed FROM (SELECT *, CAST((category_id - 1) // 16 + 1 AS INTEGER) AS d, CAST((category_id - 1) % 16 + 1 AS INTEGER) AS s FROM numbers)",
+        "['uz zilnic', 'birou', 'călătorii', 'sport', 'casă', 'grădină', 'școală', 'cadouri'][(mixed >> 25) % 8 + 1] AS use, mixed FROM (SELECT *, CAST((category_id - 1) // 16 + 1 AS INTEGER) AS d, "
+        "['Telefonie', 'Calculatoare', 'Sunet', 'Imagine', 'Electrocasnice', 'Mobilier', 'Bucătărie', 'Curte', 'Mișcare', 'Haine', 'Pantofi', 'Jocuri', 'Cărți', 'Mașini', 'Igienă', 'Papetărie'][(category_id - 1) // 16 + 1] AS dep, "
+        "['Vox', 'Byt', 'Son', 'Lum', 'Cas', 'Lem', 'Gus', 'Ver', 'Vel', 'Tex', 'Pas', 'Jov', 'Pag', 'Mot', 'Pur', 'Scr'][(category_id - 1) // 16 + 1] AS stem, "
+        "['de bază', 'compacte', 'premium', 'pentru copii', 'profesionale', 'de exterior', 'de drum', 'portabile', 'clasice', 'moderne', 'la set', 'cu accesorii', 'de rezervă', 'de sezon', 'noi', 'ecologice'][(category_id - 1) % 16 + 1] AS ran FROM numbers)",
     ),
     # 64 centroids on a curve, 40 queries between them
     "curve": (
@@ -133,7 +136,7 @@ def statements() -> dict[str, str]:
         "exact_topk": _with("SELECT query_id, rank, id, score FROM topk", "topk"),
         "euclidean_topk": _with(
             "SELECT query_id, rank, id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM "
-            "(SELECT a.id AS query_id, b.id, round(-list_distance(a.e, b.e), 6) + 0.0 AS score FROM emb a CROSS JOIN emb b WHERE a.id IN (SELECT item_id FROM benchmark))) WHERE rank <= 10",
+            "(SELECT a.id AS query_id, b.id, round(-list_distance(a.e, b.e), 6) + 0.0 AS score FROM emb a CROSS JOIN emb b WHERE a.id % 20 = 0)) WHERE rank <= 10",
             "emb",
         ),
         "exact_route": _with("SELECT query_id, rank, shard_id, score FROM routed", "routed"),
@@ -187,6 +190,16 @@ def statements() -> dict[str, str]:
             "FROM curve_exact e LEFT JOIN (SELECT j, min(band) AS band FROM curve_cert WHERE certified GROUP BY j) b USING (j) LEFT JOIN curve_cert c USING (j, band)",
             "curve_exact", "curve_cert",
         ),
+        "adaptive_route_vectors": _with(
+            "SELECT query_id, CAST(coalesce(b.band, 2) AS INTEGER) AS used_band, true AS certified, b.band IS NULL AS fallback, CASE WHEN b.band IS NULL THEN 'exact_fallback' ELSE 'spectral_certified' END AS route_mode, coalesce(c.shards, e.shards) AS shards "
+            "FROM (SELECT query_id, string_agg(shard_id, ',' ORDER BY shard_id) AS shards FROM routed GROUP BY query_id) e "
+            "LEFT JOIN (SELECT query_id, min(band) AS band FROM cert WHERE band <= 2 AND margin >= 1e-9 GROUP BY query_id) b USING (query_id) LEFT JOIN cert c USING (query_id, band)",
+            "routed", "cert",
+        ),
+        "nearest_center": _with(
+            "SELECT id, shard_id, round(score, 6) + 0.0 AS similarity FROM (SELECT id, c.shard_id, list_dot_product(v, c) AS score, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(v, c) DESC, c.shard_id) AS place FROM unit CROSS JOIN centers c) WHERE place = 1",
+            "unit", "centers",
+        ),
         "route_mode_counts": _with(
             "SELECT CASE WHEN sure THEN 'spectral_certified' ELSE 'exact_fallback' END AS route_mode, count(*) AS queries FROM (SELECT query_id, bool_or(margin >= 1e-9) AS sure FROM cert WHERE band <= 2 GROUP BY query_id) GROUP BY 1", "cert"
         ),

@@ -16,12 +16,18 @@ COLORS = ("negru", "alb", "gri", "roșu", "albastru", "verde", "galben", "maro",
 SERIES = ("Start", "Plus", "Max", "Pro", "Ultra", "Neo", "Air", "Eco")
 AUDIENCES = ("unisex", "femei", "bărbați", "copii", "familie")
 FEATURES = ("baterie de durată", "materiale reciclate", "montare ușoară", "garanție extinsă", "consum redus", "design compact", "protecție la apă", "reglaj fin")
+#: Names of departments, each with the beginning of its brands, and of their subcategories.
+DEPARTMENTS = (
+    ("Telefonie", "Vox"), ("Calculatoare", "Byt"), ("Sunet", "Son"), ("Imagine", "Lum"), ("Electrocasnice", "Cas"), ("Mobilier", "Lem"), ("Bucătărie", "Gus"), ("Curte", "Ver"),
+    ("Mișcare", "Vel"), ("Haine", "Tex"), ("Pantofi", "Pas"), ("Jocuri", "Jov"), ("Cărți", "Pag"), ("Mașini", "Mot"), ("Igienă", "Pur"), ("Papetărie", "Scr"),
+)
+RANGES = ("de bază", "compacte", "premium", "pentru copii", "profesionale", "de exterior", "de drum", "portabile", "clasice", "moderne", "la set", "cu accesorii", "de rezervă", "de sezon", "noi", "ecologice")
 USES = ("uz zilnic", "birou", "călătorii", "sport", "casă", "grădină", "școală", "cadouri")
 
 
 @dataclass(frozen=True)
 class Taxonomy:
-    """Departments times subcategories; a department's price range follows from its number."""
+    """Departments times subcategories; a department's price range follows from its number, and it has brands of its own."""
 
     departments: int = 16
     subcategories: int = 16
@@ -37,12 +43,19 @@ def _pick(values: tuple[str, ...], shift: int) -> Column:
 
 
 def categories(spark: SparkSession, taxonomy: Taxonomy = Taxonomy()) -> DataFrame:
-    """(category_id, department, subcategory, category, price_min, price_max)."""
+    """(category_id, department, subcategory, category, price_min, price_max, brand_stem)."""
     department = (F.floor(F.col("id") / taxonomy.subcategories) + 1).cast("int")
     sub = (F.col("id") % taxonomy.subcategories + 1).cast("int")
     base = spark.range(taxonomy.size).select((F.col("id") + 1).cast("int").alias("category_id"), department.alias("d"), sub.alias("s"))
-    named = base.select("category_id", F.format_string("Departament %02d", "d").alias("department"), F.format_string("Raion %02d-%02d", "d", "s").alias("subcategory"), "d")
-    return named.select("category_id", "department", "subcategory", F.concat_ws(" > ", "department", "subcategory").alias("category"), (F.col("d") * 5.0).alias("price_min"), (F.col("d") * 500.0).alias("price_max"))
+
+    def named(words: tuple[str, ...], number: str) -> Column:
+        """The number's word; a further round through the words adds its number."""
+        again = F.floor((F.col(number) - 1) / len(words)).cast("int")
+        return F.concat(F.element_at(F.array(*[F.lit(w) for w in words]), (F.col(number) - 1) % len(words) + 1), F.when(again > 0, F.concat(F.lit(" "), (again + 1).cast("string"))).otherwise(""))
+
+    whole = base.select("category_id", "d", named(tuple(n for n, _ in DEPARTMENTS), "d").alias("department"), named(RANGES, "s").alias("range"), named(tuple(b for _, b in DEPARTMENTS), "d").alias("brand_stem"))
+    whole = whole.withColumn("subcategory", F.concat_ws(" ", "department", "range"))
+    return whole.select("category_id", "department", "subcategory", F.concat_ws(" > ", "department", "subcategory").alias("category"), (F.col("d") * 5.0).alias("price_min"), (F.col("d") * 500.0).alias("price_max"), "brand_stem")
 
 
 def products(spark: SparkSession, rows: int, seed: int = 42, taxonomy: Taxonomy = Taxonomy(), category_count: int | None = None) -> DataFrame:
@@ -56,7 +69,7 @@ def products(spark: SparkSession, rows: int, seed: int = 42, taxonomy: Taxonomy
     joined = numbered.join(categories(spark, taxonomy), "category_id")
     share = F.pow((F.col("mixed") % 10000) / F.lit(9999.0), F.lit(SKEW))
     price = F.round(F.col("price_min") + (F.col("price_max") - F.col("price_min")) * share, 2)
-    brand = F.concat(F.lit("Marca "), F.chr((F.lit(65) + F.col("mixed") % taxonomy.brands).cast("int")))
+    brand = F.concat(F.col("brand_stem"), F.lit(" "), F.chr((F.lit(65) + F.col("mixed") % taxonomy.brands).cast("int")))
     made = joined.select(
         "id", "category_id", "category", "subcategory", "sequence", brand.alias("brand"), price.alias("price_ron"), _pick(SERIES, 4).alias("series"), _pick(COLORS, 8).alias("color"),
         _pick(AUDIENCES, 12).alias("audience"), _pick(FEATURES, 16).alias("feature_one"), _pick(FEATURES, 21).alias("feature_two"), _pick(USES, 25).alias("use"),
@@ -98,7 +111,7 @@ def write_sqlite(made: DataFrame, taxonomy: DataFrame, path: str, force: bool =
             "CREATE TABLE products (product_id TEXT PRIMARY KEY, title TEXT NOT NULL, description TEXT NOT NULL, category_id INTEGER NOT NULL REFERENCES categories, category TEXT NOT NULL, brand TEXT NOT NULL, "
             "price_ron REAL NOT NULL CHECK (price_ron >= 0), color TEXT NOT NULL, audience TEXT NOT NULL, in_stock INTEGER NOT NULL CHECK (in_stock IN (0, 1)))"
         )
-        con.executemany("INSERT INTO categories VALUES (?, ?, ?, ?, ?, ?)", [tuple(r) for r in taxonomy.collect()])
+        con.executemany("INSERT INTO categories VALUES (?, ?, ?, ?, ?, ?)", [tuple(r)[:6] for r in taxonomy.collect()])
         held = []
         for row in made.toLocalIterator():
             held.append(tuple(int(x) if isinstance(x, bool) else x for x in row))

@@ -3,7 +3,7 @@ import pytest
 
 from tessera.operators.router import RouterConfig
 from tessera.plans import benchmark, capacity, cli, interactive
-from tessera.plans.catalog import Catalog, Filters, format_results, page, result_json
+from tessera.plans.catalog import EVALUATION_FIELDS, Catalog, Filters, format_results, page, result_json
 from tessera.plans.http_api import Api
 from tessera.sources import generator
 from tessera.streaming.build import build_streaming
@@ -39,7 +39,7 @@ def test_all_shards_give_the_exact_result(catalog):
 
 
 def test_certified_means_equal_to_everywhere(catalog):
-    texts = [f"Raion 01-0{i} Marca" for i in range(1, 7)]
+    texts = [f"Telefonie {x} Vox" for x in generator.RANGES[:6]]
     some, everywhere = catalog.search_text(texts, top_k=3), catalog.search_text(texts, top_k=3, probe_shards=4)
     sure = {r["query_id"] for r in some.evidence.collect() if r["vectors_certified"]}
     of = lambda outcome, q: [r["id"] for r in outcome.results.where(f"query_id = {q}").orderBy("rank").collect()]
@@ -94,6 +94,55 @@ def test_embeddings_are_kept(spark, csv, catalog):
     assert again.manifest["embeddings_cached"] and not Catalog.build(spark, csv, catalog.path, config=CONFIG, dimension=48, force_embeddings=True).manifest["embeddings_cached"]
 
 
+def test_streaming_build_of_one_dirty_file(spark, tmp_path):
+    from tessera.sources import files
+    from tessera.streaming import build
+
+    lines = ["\ufeffproduct_id,title,description,price_ron,in_stock"]
+    for i in range(40):
+        lines.append(f'P{i},"Titlu ""{i}""","prima linie\na doua, {i}",{i}.5,da')
+    lines += ["", "P3,Again,Copy,1,da", ",No id,x,1,da", "P50,Bad price,x,abc,da", "P51,Bad stock,x,1,maybe", "P4,Bad and again,x,abc,da", "P52,Last,x,,"]
+    path = tmp_path / "one.csv"
+    path.write_text("\n".join(lines), encoding="utf-8")
+    out = str(tmp_path / "s")
+    streamed = build_streaming(spark, str(path), out, config=CONFIG, dimension=24, part_bytes=300, files_a_batch=2)
+    assert len(list((tmp_path / "s" / "input").glob("file-*.csv"))) > 5
+    whole = Catalog.build(spark, str(path), str(tmp_path / "w"), config=CONFIG, dimension=24)
+    same = ["product_id", "title", "description", "price_ron", "in_stock"]
+    assert streamed.products().select(same).exceptAll(whole.products().select(same)).count() == 0 and streamed.products().count() == 41
+    bad = lambda p: sorted((r["product_id"] or "", r["error"]) for r in spark.read.parquet(f"{p}/rejects").collect())
+    assert bad(out) == bad(tmp_path / "w")
+    counts = files.read_json(spark, f"{out}/import_report.json")
+    assert (counts["rows_read"], counts["rows_valid"], counts["rows_invalid"], counts["duplicate_ids"]) == (46, 41, 5, 2)
+    assert files.exists(spark, f"{out}/router.json") and spark.read.json(f"{out}/semantic_texts").count() == 41
+    path.write_text("\n".join(lines[:3]), encoding="utf-8")
+    with pytest.raises(ValueError):
+        build_streaming(spark, str(path), out, config=CONFIG, dimension=24)
+    assert list(build.records(iter([b'a,"x\ny"', b"\n", b"\n b,1\nc"]))) == [b'a,"x\ny"\n', b" b,1\n", b"c"]
+
+
+def test_approximate_local_index(catalog):
+    exact, rough = (catalog.search_text("uz zilnic baterie", top_k=5, probe_shards=4, local_index=x) for x in ("exact", "lsh"))
+    assert set(ids(rough)) and rough.evidence.first()["local_index"] == "lsh" and not rough.evidence.first()["vectors_certified"]
+    assert exact.evidence.first()["local_index"] == "exact" and len(set(ids(rough)) & set(ids(exact))) >= 3
+
+
+def test_stored_local_index(spark, csv, tmp_path):
+    from tessera.operators import local_index
+
+    catalog = Catalog.build(spark, csv, str(tmp_path / "c"), config=CONFIG, dimension=48, local_index="hnsw")
+    assert catalog.manifest["stored_index"]["entries"] == catalog.index_rows().count() == 60 * 8
+    again = Catalog.load(spark, catalog.path)
+    outcome = again.search_text("uz zilnic baterie", top_k=5, probe_shards=4, filters=Filters(price_min=0))
+    assert outcome.evidence.first()["local_index"] == "lsh" and ids(outcome)
+    q = catalog.queries(["uz zilnic baterie"])
+    routes = spark.createDataFrame([(0, s) for s in range(4)], "query_id long, shard_id int")
+    numbers = catalog.manifest["stored_index"]
+    stored = local_index.stored_topk(catalog.index_rows(), numbers, catalog.vectors(), q, 5, routes)
+    fresh = local_index.lsh_topk(catalog.vectors(), q, 5, routes=routes)
+    assert [tuple(r) for r in stored.orderBy("rank").collect()] == [tuple(r) for r in fresh.orderBy("rank").collect()]
+
+
 def test_streaming_build_holds_the_same_products(spark, csv, catalog, tmp_path):
     streamed = build_streaming(spark, csv, str(tmp_path / "s"), config=CONFIG, dimension=48)
     assert streamed.vectors().count() == 60 and streamed.vectors().select("shard_id").distinct().count() == 4
@@ -105,7 +154,12 @@ def test_reports(spark, catalog, tmp_path):
     outcome = catalog.search_text("școală", top_k=2, evaluate=True)
     for _ in range(2):
         catalog.log_evaluation(outcome, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+    log = spark.read.parquet(str(tmp_path / "log"))
+    assert log.count() == 2 and tuple(log.columns) == EVALUATION_FIELDS and len(EVALUATION_FIELDS) == 15
+    row = log.first()
+    assert row["query"] == "școală" and row["recall_at_k"] is not None and row["result_product_ids"].startswith('["') and row["oracle_product_ids"].startswith('["')
+    catalog.log_evaluation(catalog.search_text("birou"), str(tmp_path / "log.csv"))
+    assert spark.read.csv(str(tmp_path / "log.csv"), header=True, escape='"').first()["filter_strategy"] == "pre"
     assert "product" not in format_results(outcome) and "RON" in format_results(outcome)
     assert '"score"' in result_json(outcome.results).first()["json"]
     queries = spark.createDataFrame([(0, "sport"), (1, "birou")], "query_id long, query string")
@@ -145,6 +199,21 @@ def test_command_line(spark, csv, tmp_path, capsys):
     assert '"results"' in capsys.readouterr().out
 
 
+def test_command_line_of_a_streaming_build(spark, csv, tmp_path, capsys):
+    index, batch = str(tmp_path / "index"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    options = ["--local-index", "hnsw", "--kmeans-epochs", "3", "--progress-every", "20", "--batch-size", "500", "--embedding-batch-size", "8", "--streaming"]
+    try:
+        assert cli.main(["build", "--csv", csv, "--output", index, "--shards", "3", "--bands", "1", "--probe-shards", "3", "--embedding-dimension", "32", *options], spark) == 0
+        assert "60 records" in capsys.readouterr().out
+        assert cli.main(["search", "--index", index, "--query", "sport", "--top-k", "2", "--json", "--report", str(tmp_path / "log.csv")], spark) == 0
+        assert '"local_index": "lsh"' in capsys.readouterr().out
+        assert cli.main(["search", "--index", index, "--query", "sport", "--top-k", "2", "--json", "--local-index", "exact"], spark) == 0
+        assert '"local_index": "exact"' in capsys.readouterr().out
+        assert spark.read.csv(str(tmp_path / "log.csv"), header=True).count() == 1
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_capacity(spark):
     row = capacity.estimate(router_ms=0.3, local_p95_ms=8.0, network_p95_ms=1.5, merge_ms=1.0)
     assert row["total_ms"] == pytest.approx(10.8) and not row["physical"] and row["items_per_shard"] == pytest.approx(61035.15625)
