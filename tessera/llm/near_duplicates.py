@@ -51,6 +51,7 @@ ROWS = 4
 TILE = 512
 HUBS = 3
 
+_ROW = "_near_duplicates_row"
 _HASHES = 2 * SUBKEYS * ROWS
 _MULTIPLY = np.random.default_rng(20240229).integers(1, 1 << 63, _HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -356,13 +357,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int]
 
 
 def deduplicated(docs: DataFrame, size: int = SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
-    """docs without the rows that are not kept; of rows with equal doc_id in a group one stays."""
-    found = materialise(near_duplicates(docs, size, least), "near-duplicates")
-    gone = found.where("not kept").select("doc_id").distinct()
-    out = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # at every size, as above
-    if found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id. Where ids repeat, rows are told apart by their texts and
+    not by their ids: rows of one id whose texts are not linked all stay, and of a group's rows with the smallest id the first read stays. Rows without
+    an id or without words always stay."""
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = materialise(near_duplicates(docs, size, least), "near-duplicates")
+        gone = found.where("not kept").select("doc_id").distinct()
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)  # at every size, as above
+    numbered = materialise(docs.withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+    named = numbered.where("doc_id is not null").select(F.col(_ROW).alias("doc_id"), "text")
+    found = materialise(near_duplicates(named, size, least), "near-duplicates").select(F.col("doc_id").alias(_ROW), "component_id")
+    best = numbered.select(_ROW, "doc_id").join(found, _ROW).groupBy("component_id").agg(F.min(F.struct("doc_id", _ROW))[_ROW].alias(_ROW))
+    gone = found.select(_ROW).join(best.select(_ROW), _ROW, "left_anti")
+    return numbered.join(gone.hint("merge"), _ROW, "left_anti").select(*docs.columns)
 
 
 def reference_components(rows: list[tuple], size: int = SHINGLE, least: tuple[int, int] = LEAST) -> dict[int, tuple[int, int]]:

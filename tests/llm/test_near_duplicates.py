@@ -79,7 +79,10 @@ def test_repeated_ids_and_null_ids(make):
     assert [(c, k) for i, _, c, k in got if i is None] == [(None, True)]
     kept = n.deduplicated(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3]
+    rows = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert rows == [(0, "q r s t u v"), (1, "a b c d e f"), (1, "q r s t u v"), (3, ""), (3, "")]
+    alone = make([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x"), (4, None), (5, None), (None, "a b c d e f")])
+    assert sorted(r["doc_id"] or 0 for r in n.deduplicated(alone).collect()) == [0, 1, 3, 4, 5]
 
 
 def test_empty(make):

@@ -154,3 +154,44 @@ def test_masking(make):
     docs = make([(1, "é mail a@b.co or +1 (555) 123-4567, 4111 1111 1111 1111."), (2, "nothing"), (3, None), (4, "1.2.3.4")])
     got = {r["doc_id"]: r["text"] for r in masked_documents(docs, personal_data.spans(docs)).collect()}
     assert got == {1: "é mail [EMAIL] or [PHONE], [CARD].", 2: "nothing", 3: None, 4: "[IP]"}
+
+
+def python_votes(kind, m, left, right):
+    """The labelers again, in plain Python."""
+    digits = re.sub("[^0-9]", "", m)
+    shape = {
+        "email": lambda: int(bool(re.search(r"^[A-Za-z0-9].*\.[A-Za-z]{2,24}$", m))), "ip": lambda: int(not re.search(personal_data.RESERVED, m)), "ssn": lambda: int(not re.search(r"^(?:000|666|9)|-00-|-0000$", m)),
+        "iban": lambda: int(15 <= len(m) <= 34 and bool(re.search("[0-9]{6}", m))), "tel": lambda: int(not re.search("^[01]|^...[01]", digits)),
+    }.get(kind, lambda: 1)()
+    letter = r"[^\W\d_]"
+    says = lambda words: re.search(rf"(?<!{letter})(?:{words})(?!{letter})", left.lower())
+    alone = (not left or re.search(r"[\s(\[{<\"'>:;,]$", left)) and (not right or re.search(r"^[\s)\]}>\"'<:;,.!?]", right))
+    joined = re.search(r"[A-Za-z0-9_/=#-]$", left) or re.search(r"^[A-Za-z0-9_/=#-]", right)
+    varied = int(len(set(re.sub("[^0-9A-Za-z]", "", m))) >= 4)
+    return "".join(map(str, [shape, 1 if says(personal_data.CUES) else 2, 0 if says(personal_data.OTHER) else 2, 1 if alone else 2, 0 if joined else 2, varied]))
+
+
+def test_added_spans_against_brute_force(spark, small, make):
+    extra = make([(10**6 + i, f"phone 212-555-0{100 + i}, build 1.0 415-555-0{100 + i}x (646) 555-1{200 + i}; ssn 123-45-6{100 + i} id=000-12-3456 +1 (212) 555-0{100 + i} DE8937040044053201300{i % 10}") for i in range(40)])
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(extra.select("doc_id", "text"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    found = personal_data.materialise(personal_data.candidates(docs), "t")
+    model = personal_data.trained(found)
+    want, counts = {}, {}
+    for r in found.collect():
+        text, loose = texts[r["doc_id"]], []
+        base = [(k, x["start"], x["end"]) for k in personal_data.BASE for x in r[k]]
+        for kind in personal_data.KINDS:
+            for x in r[kind]:
+                m, left, right = text[x["start"] : x["end"]], text[max(0, x["start"] - personal_data.CONTEXT) : x["start"]], text[x["end"] : x["end"] + 1]
+                assert x["votes"] == python_votes(kind, m, left, right), (kind, m, left, right)
+                counts[kind, x["votes"]] = counts.get((kind, x["votes"]), 0) + 1
+                if kind in personal_data.LOOSE and model.score(kind, x["votes"], tuple(x[f] for f in personal_data.SIZES)) >= 0 and not any(a < x["end"] and x["start"] < b for _, a, b in base):
+                    loose.append((kind, x["start"], x["end"]))
+        want[r["doc_id"]] = loose
+        for kind, pattern in personal_data.LOOSE.items():
+            assert [(x["start"], x["end"]) for x in r[kind]] == [m.span() for m in re.finditer(pattern.replace("++", "+"), text)]
+    got = {r["doc_id"]: [tuple(s) for s in r["added"]] for r in personal_data.spans(docs).collect()}
+    assert got == want and sum(map(len, want.values())) >= 80
+    post = personal_data.posteriors(counts)
+    assert set(post) == set(counts) and all(0 <= p <= 1 for p in post.values())
