@@ -349,7 +349,7 @@ def reference_shapes(pages: DataFrame) -> DataFrame:
 
 
 def aligned_blocks(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """page_id, url, host and the page's blocks with the reference node (slot) that each stands in, -1 where it has no match."""
+    """page_id, url, host and the blocks of the page's article, main or whole, with the reference node (slot) that each stands in, -1 where it has no match."""
     joined = pages.join(references, "host", "left").select("page_id", "url", "host", "html", "shape")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,8 @@ def aligned_blocks(pages: DataFrame, references: DataFrame) -> DataFrame:
                     if len(known) > 5000:
                         known.clear()
                     slots = known[shape, own] = {j: i for i, j in simple_tree_matching(json.loads(shape), json.loads(own))} if shape else {}
-                out.append([{"slot": slots.get(b.node, -1), "container": b.container, "text": b.text, "doubt": b.doubt, "linked": b.linked, "menu": b.menu} for b in blocks])
+                best = max((b.container for b in blocks), default=0)  # outside an article or main nothing counts where there is one
+                out.append([{"slot": slots.get(b.node, -1), "container": b.container, "text": b.text, "doubt": b.doubt, "linked": b.linked, "menu": b.menu} for b in blocks if b.container == best])
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id").cast(pa.int64()), "url": batch.column("url"), "host": batch.column("host"), "blocks": pa.array(out, _BLOCK_TYPE)})
 
     return joined.mapInArrow(align, f"page_id long, url string, host string, blocks {_BLOCKS}")
@@ -403,11 +404,9 @@ def main_text(pages: DataFrame, use_template: bool = True) -> DataFrame:
     aligned = materialise(aligned_blocks(pages, references), "aligned-pages")
     constant = materialise(templates(aligned), "templates") if use_template else spark.createDataFrame([], "host string, constant array<long>")
     found = aligned.join(constant, "host", "left")
-    best = F.aggregate("blocks", F.lit(0), lambda a, b: F.greatest(a, b["container"]))
-    inside = F.filter("blocks", lambda b: b["container"] >= F.col("best"))
     holds = lambda h: F.coalesce(F.array_contains(F.col("constant"), h), F.lit(False))
-    varying = F.filter("inside", lambda b: ~(holds(_place(b)) | (b["doubt"] & (b["linked"] | holds(_node(b)))) | b["menu"]))
-    found = found.withColumn("best", best).withColumn("inside", inside).withColumn("varying", varying)
-    kept = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("inside"))
+    varying = F.filter("blocks", lambda b: ~(holds(_place(b)) | (b["doubt"] & (b["linked"] | holds(_node(b)))) | b["menu"]))
+    found = found.withColumn("varying", varying)
+    kept = F.when(F.size("varying") > 0, F.col("varying")).otherwise(F.col("blocks"))
     text = F.concat_ws("\n\n", F.transform(kept, lambda b: b["text"]))
     return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
