@@ -372,7 +372,9 @@ def aligned_blocks(pages: DataFrame, references: DataFrame) -> DataFrame:
 
 
 def _place(b):
-    return F.xxhash64(b["slot"], b["container"], b["text"])
+    """A hash of slot, container and text, whose lowest bit says whether the strict figures hold. A number, as distinct numbers are found by hashing."""
+    strict = ((b["container"] > 0) | (F.length(b["text"]) > LOOSE_CHARS)).cast("long")
+    return F.xxhash64(b["slot"], b["container"], b["text"]).bitwiseAND(F.lit(-2)).bitwiseOR(strict)
 
 
 def _node(b):
@@ -381,18 +383,19 @@ def _node(b):
 
 def templates(aligned: DataFrame) -> DataFrame:
     """(host, constant): hashes of (slot, container, text) that are the host's template, and of the doubtful slots that repeat their texts."""
-    places = F.transform("blocks", lambda b: F.struct(_place(b).alias("h"), ((b["container"] > 0) | (F.length(b["text"]) > LOOSE_CHARS)).alias("strict"), F.when(b["doubt"], _node(b)).alias("node")))
-    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), places.alias("places"))
-    distinct = hashed.groupBy("host", "article").agg(F.any_value("places").alias("places"))
+    doubts = F.transform(F.filter("blocks", lambda b: b["doubt"]), lambda b: F.concat_ws(":", _node(b).cast("string"), _place(b).cast("string")))
+    hashed = aligned.select("host", F.xxhash64(F.to_json("blocks")).alias("article"), F.transform("blocks", _place).alias("places"), doubts.alias("doubts"))
+    distinct = hashed.groupBy("host", "article").agg(F.any_value("places").alias("places"), F.any_value("doubts").alias("doubts"))
     pages = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    each = distinct.select("host", F.explode(F.array_distinct("places")).alias("p"))
-    every = each.groupBy("host", "p.h", "p.strict", "p.node").agg(F.count("*").alias("n"))
-    counts = every.where(F.col("n") >= LOOSE_PAGES)
-    share, least = F.when(F.col("strict"), TEMPLATE_SHARE).otherwise(LOOSE_SHARE), F.when(F.col("strict"), TEMPLATE_PAGES).otherwise(LOOSE_PAGES)
+    each = distinct.select("host", F.explode(F.array_distinct("places")).alias("h"))
+    counts = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= LOOSE_PAGES)
+    strict = F.col("h").bitwiseAND(F.lit(1)) == 1
+    share, least = F.when(strict, TEMPLATE_SHARE).otherwise(LOOSE_SHARE), F.when(strict, TEMPLATE_PAGES).otherwise(LOOSE_PAGES)
     constant = counts.join(pages, "host").where((F.col("n") >= share * F.col("pages")) & (F.col("pages") >= least)).select("host", "h")
-    repeated = every.where("node is not null").groupBy("host", "node").agg(F.count("*").alias("texts"), F.sum("n").alias("n")).where((F.col("n") >= LOOSE_PAGES) & (F.col("texts") < REPEATS * F.col("n")))
-    found = constant.unionByName(repeated.select("host", F.col("node").alias("h")))
-    return found.groupBy("host").agg(F.collect_set("h").alias("constant"))  # at most a page's blocks / LOOSE_SHARE, and the nodes of the reference page
+    of_nodes = distinct.select("host", F.explode(F.array_distinct("doubts")).alias("d")).groupBy("host", "d").agg(F.count("*").alias("n"))
+    nodes = of_nodes.groupBy("host", F.substring_index("d", ":", 1).cast("long").alias("h")).agg(F.count("*").alias("texts"), F.sum("n").alias("n"))
+    repeated = nodes.where((F.col("n") >= LOOSE_PAGES) & (F.col("texts") < REPEATS * F.col("n"))).select("host", "h")
+    return constant.unionByName(repeated).groupBy("host").agg(F.collect_set("h").alias("constant"))  # at most a page's blocks / LOOSE_SHARE, and the nodes of the reference page
 
 
 def main_text(pages: DataFrame, use_template: bool = True) -> DataFrame:
