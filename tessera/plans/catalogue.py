@@ -131,18 +131,18 @@ def filtered_topk_post(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(at.select("query_id", search.budget_rounds(F.col("place"), F.col("capacity"), TOP).alias("budget_rounds")), "query_id")
 
 
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = _products(spark, sf_dir).where(Filters(brand="BRAND#11").condition())
-    scored = search.pair_scores(products.select("id", "vector"), _queries(spark, sf_dir))
-    return search.rank_all(scored.select("query_id", "id", "score"))
+def _of_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _products(spark, sf_dir).where(Filters(brand="BRAND#11").condition())
 
 
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all(spark, sf_dir)
+    scored = search.pair_scores(_of_brand(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir))
+    return search.rank_all(scored.select("query_id", "id", "score"))
 
 
 def page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page(_all(spark, sf_dir), 2, 5)
+    """A page needs the ranks up to its last one, not a ranking of everything."""
+    return page(search.block_topk(_of_brand(spark, sf_dir), _queries(spark, sf_dir), 2 * 5), 2, 5)
 
 
 def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

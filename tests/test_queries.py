@@ -27,6 +27,18 @@ def test_query(name, spark, small, duck):
         assert rows_of(found) == rows_of(duck(small).execute(SQL[name]).df())
 
 
+def test_a_page_ranks_only_up_to_its_end(spark, small, monkeypatch):
+    from tessera.operators import search
+
+    whole = catalogue.queries()["all_results"](spark, small).where("rank between 6 and 10").toPandas()
+
+    def never(*args):
+        raise AssertionError("everything was ranked")
+
+    monkeypatch.setattr(search, "rank_all", never)
+    assert rows_of(catalogue.queries()["page_2"](spark, small).toPandas()) == rows_of(whole)
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(catalogue.queries())
 
