@@ -229,8 +229,7 @@ class Catalog:
             allowed = allowed.join(self.products().where(filters.condition()).select(F.col("product_id").alias("id")), "id", "left_semi")
         metric, backend = self.router.config.metric, "exact"
         if all_results:
-            found = search.pair_scores(allowed.select("id", "vector"), units)
-            found = search.rank_all(found.select("query_id", "id", "score"))
+            found = search.all_ranked(allowed, units)
         else:
             backend = chosen_backend(local_index or self.manifest.get("local_index", "exact"), self.manifest["products"], self.router.shards)
             if backend == "lsh" and metric == "cosine":

@@ -136,8 +136,7 @@ def _of_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = search.pair_scores(_of_brand(spark, sf_dir).select("id", "vector"), _queries(spark, sf_dir))
-    return search.rank_all(scored.select("query_id", "id", "score"))
+    return search.all_ranked(_of_brand(spark, sf_dir), _queries(spark, sf_dir))
 
 
 def page_2(spark: SparkSession, sf_dir: str) -> DataFrame:

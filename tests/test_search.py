@@ -240,6 +240,22 @@ def test_ranks_of_everything_by_ranges(spark):
     assert search.rank_all(df.limit(0)).count() == 0
 
 
+def test_everything_is_ranked_without_a_shuffle_of_pairs(world, monkeypatch):
+    x, _, rows, q, queries = world
+    want = {i: brute(x, q[i], 80) for i in range(6)}
+    with monkeypatch.context() as m:
+        m.setattr(search, "rank_all", None)
+        plan = search.all_ranked(rows, queries)
+        assert found(plan) == want and [r["rank"] for r in plan.where("query_id = 3").orderBy("rank").collect()] == list(range(1, 81))
+        m.setattr(search, "TASK_RESULTS", 80)
+        assert search.all_ranked(rows, queries).rdd.getNumPartitions() == 6
+        m.setattr(search, "BATCH_RESULTS", 7)
+        assert found(search.all_ranked(rows, queries)) == want
+        assert search.all_ranked(rows.where("id < 0"), queries).count() == search.all_ranked(rows, queries.where("query_id < 0")).count() == 0
+    monkeypatch.setattr(search.query_blocks, "__defaults__", (2000,))
+    assert found(search.all_ranked(rows, queries)) == want
+
+
 def test_best_cells_with_ties():
     values = np.array([[1.0, 3.0, 3.0, 3.0, -np.inf], [-np.inf] * 5, [0.0, 0.0, 0.0, 0.0, 0.0]])
     row, column = search.best_cells(values, 2)
