@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import importlib.util
 import json
 import os
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -20,11 +22,21 @@ from pyspark.sql import functions as F
 TOKEN = "[a-z0-9]+"
 #: Fixed values of the hashed embedding: weights of words, character n-grams by width, and word pairs.
 WORD_WEIGHT, GRAM_WEIGHTS, PAIR_WEIGHT = 2.0, {3: 0.35, 4: 0.25, 5: 0.15}, 0.75
+#: Characters of the words, and pairs (and n-grams), whose hashes HashProvider keeps; a full store is emptied. Words of a text that are added up at once.
+KEPT_CHARACTERS, KEPT_PAIRS, SOME_WORDS = 1 << 20, 1 << 18, 1 << 14
+
+
+@functools.cache
+def _marks() -> re.Pattern:
+    """Any combining mark."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "]+")
 
 
 def fold(text: str) -> str:
     """Case-folded, decomposed, without combining marks."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    if text.isascii():
+        return text.lower()
+    return _marks().sub("", unicodedata.normalize("NFKD", text.casefold()))
 
 
 def fold_column(text: Column) -> Column:
@@ -116,24 +128,66 @@ class HashProvider(_Provider):
     def features(self, text: str) -> Iterator[tuple[str, float]]:
         words = re.findall(TOKEN, fold(text))
         for word in words:
-            yield f"w:{word}", WORD_WEIGHT
-            padded = f"^{word}$"
-            for width, weight in GRAM_WEIGHTS.items():
-                yield from ((f"c{width}:{padded[i : i + width]}", weight) for i in range(len(padded) - width + 1))
+            yield from word_features(word)
         yield from ((f"b:{a}_{b}", PAIR_WEIGHT) for a, b in zip(words, words[1:], strict=False))
 
+    def _hashed(self, word: str, grams: dict) -> tuple[list[int], list[float]]:
+        """Places and signed weights of a word's features; n-grams, which many words share, are kept in grams."""
+        places, weights = [], []
+        for n, (feature, weight) in enumerate(word_features(word)):
+            kept = grams.get(feature)
+            if kept is None:
+                kept = self.place(feature)
+                if n:
+                    if len(grams) >= KEPT_PAIRS:
+                        grams.clear()
+                    grams[feature] = kept
+            places.append(kept[0])
+            weights.append(kept[1] * weight)
+        return places, weights
+
     def encode_texts(self, texts: list[str]) -> np.ndarray:
-        out, seen = np.zeros((len(texts), self.dimension)), {}
+        """The sums over features(), in its order. A word's features are hashed once and kept together, so a text costs a lookup a word and one a pair."""
+        out, words_kept, pairs_kept, grams, characters = np.zeros((len(texts), self.dimension)), {}, {}, {}, 0
         for row, text in zip(out, texts, strict=True):
-            for feature, weight in self.features(text):
-                place, sign = seen.get(feature) or seen.setdefault(feature, self.place(feature))
-                row[place] += sign * weight
+            words = re.findall(TOKEN, fold(text))
+            for lo in range(0, len(words), SOME_WORDS):
+                places, weights = [], []
+                for word in words[lo : lo + SOME_WORDS]:
+                    if (kept := words_kept.get(word)) is None:
+                        characters += len(word) + 16
+                        if characters > KEPT_CHARACTERS:
+                            words_kept, characters = {}, len(word) + 16
+                        kept = words_kept[word] = self._hashed(word, grams)
+                    places += kept[0]
+                    weights += kept[1]
+                np.add.at(row, np.array(places, np.int64), np.array(weights))
+            for lo in range(0, len(words) - 1, SOME_WORDS):
+                some = words[lo : lo + SOME_WORDS + 1]
+                places = []
+                for pair in zip(some, some[1:], strict=False):
+                    if (kept := pairs_kept.get(pair)) is None:
+                        if len(pairs_kept) >= KEPT_PAIRS:
+                            pairs_kept = {}
+                        place, sign = self.place("b:%s_%s" % pair)
+                        kept = pairs_kept[pair] = place if sign > 0 else ~place
+                    places.append(kept)
+                at = np.array(places, np.int64)
+                np.add.at(row, np.where(at < 0, ~at, at), np.where(at < 0, -PAIR_WEIGHT, PAIR_WEIGHT))
             if not row.any():
                 place, sign = self.place("empty")
                 row[place] = sign
         return _unit(out)
 
 
+def word_features(word: str) -> Iterator[tuple[str, float]]:
+    """A word and the character n-grams of ^word$."""
+    yield f"w:{word}", WORD_WEIGHT
+    padded = f"^{word}$"
+    for width, weight in GRAM_WEIGHTS.items():
+        yield from ((f"c{width}:{padded[i : i + width]}", weight) for i in range(len(padded) - width + 1))
+
+
 class FastHashProvider(_Provider):
     """Signed hashing of words of two or more characters and their pairs; cheaper than HashProvider. Text without tokens has the feature
     "empty", so that no vector is zero."""

@@ -60,6 +60,38 @@ def test_errors():
     assert isinstance(text.create_provider("auto", 16), text.HashProvider | text.ModelProvider)
 
 
+def test_words_are_hashed_once(monkeypatch):
+    p = text.HashProvider(32)
+    texts = ["", "one two one two one, Ștefan x", "two " * 700 + "½ ™ ﬁn a\u0301\u0327b İstanbul K", "!?"]
+    want = np.zeros((len(texts), 32))
+    for row, t in zip(want, texts, strict=True):
+        for feature, weight in p.features(t):
+            place, sign = p.place(feature)
+            row[place] += sign * weight
+        if not row.any():
+            place, sign = p.place("empty")
+            row[place] = sign
+    want = want / np.linalg.norm(want, axis=1, keepdims=True)
+    assert (p.encode_texts(texts) == want).all()
+    for name, small in (("KEPT_CHARACTERS", 30), ("KEPT_PAIRS", 2), ("SOME_WORDS", 3)):
+        monkeypatch.setattr(text, name, small)
+        assert (p.encode_texts(texts) == want).all()
+    monkeypatch.undo()
+    seen, plain = [], p.place
+    monkeypatch.setattr(p, "place", lambda feature: seen.append(feature) or plain(feature))
+    monkeypatch.setattr(p, "features", None)  # no text is taken feature by feature
+    p.encode_texts(["two one " * 50] * 3)
+    assert len(seen) == len(set(seen))
+
+
+def test_fold_drops_every_combining_mark():
+    import sys
+    import unicodedata
+
+    for c in map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1, 7)]):
+        assert text.fold(c) == "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "one"), (2, None), (3, "one")], "id int, t string")
     got = {r["id"]: r["embedding"] for r in text.embed(df, "t", text.HashProvider(16)).collect()}
