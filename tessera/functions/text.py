@@ -69,14 +69,14 @@ def ngram_features(words: Column) -> Column:
         return F.concat(*parts)
 
     singles = F.flatten(F.transform(words, grams))
-    neighbours = F.when(
-        F.size(words) > 1,
-        F.zip_with(
-            F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1),
-            lambda a, b: F.struct(F.concat(F.lit("b:"), a, F.lit("_"), b).alias("feature"), F.lit(PAIR_WEIGHT).alias("weight")),
-        ),
-    ).otherwise(empty)
-    return F.concat(singles, neighbours)
+    return F.concat(singles, F.transform(neighbours(words), lambda f: F.struct(f.alias("feature"), F.lit(PAIR_WEIGHT).alias("weight"))))
+
+
+def neighbours(words: Column) -> Column:
+    """The features of pairs of neighbours."""
+    empty = F.array().cast("array<string>")
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), F.slice(words, F.lit(2), F.size(words) - 1), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
+    return F.when(F.size(words) > 1, pairs).otherwise(empty)
 
 
 def _gram(padded: Column, width: int, weight: float) -> Callable[[Column], Column]:

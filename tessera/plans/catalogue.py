@@ -403,8 +403,14 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feature_counts(texts: DataFrame) -> DataFrame:
-    each = texts.select(F.explode(text.ngram_features(text.tokens(F.col("text")))).alias("f"))
-    return each.groupBy(F.col("f.feature").alias("feature")).agg(F.count("*").alias("n"), F.round(F.sum("f.weight"), 6).alias("weight"))
+    """Words and pairs are counted first, and only the different words are cut into n-grams, which take the word's count."""
+    words = texts.select(text.tokens(F.col("text")).alias("t"))
+    each = words.select(F.explode(F.concat(F.transform("t", lambda w: F.concat(F.lit("w:"), w)), text.neighbours(F.col("t")))).alias("feature"))
+    counts = each.groupBy("feature").agg(F.count("*").alias("n"))
+    pair = F.array(F.struct("feature", F.lit(text.PAIR_WEIGHT).alias("weight")))
+    cut = F.when(F.col("feature").startswith("w:"), text.ngram_features(F.array(F.substring("feature", 3, 2**31 - 1)))).otherwise(pair)
+    features = counts.select(F.explode(cut).alias("f"), "n")
+    return features.groupBy(F.col("f.feature").alias("feature")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("f.weight")), 6).alias("weight"))
 
 
 def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +418,7 @@ def ngram_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features of the whole corpus, folded as for the embedding; counts are added up in each task before they are shuffled."""
+    """The features of the whole corpus, folded as for the embedding."""
     return _feature_counts(_table(spark, sf_dir, "documents").select(text.fold_column(F.col("text")).alias("text")))
 
 

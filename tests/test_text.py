@@ -92,6 +92,25 @@ def test_fold_drops_every_combining_mark():
         assert text.fold(c) == "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
 
 
+def test_only_different_words_are_cut_into_grams(spark, monkeypatch):
+    from collections import Counter
+
+    from tessera.plans import catalogue
+
+    texts = ["ab cd ab", None, "", "x", "ab cd " * 50, "it was the 2nd"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    cut, plain = [], text.ngram_features
+    monkeypatch.setattr(text, "ngram_features", lambda words: cut.append(str(words)) or plain(words))
+    got = {r["feature"]: (r["n"], r["weight"]) for r in catalogue._feature_counts(df).collect()}
+    want, weights = Counter(), {}
+    for t in texts:
+        for feature, weight in text.HashProvider(16).features(t or ""):
+            want[feature] += 1
+            weights[feature] = weight
+    assert got == {f: (n, round(n * weights[f], 6)) for f, n in want.items()}
+    assert len(cut) == 1 and "substring" in cut[0]  # single counted words, not the token arrays of texts
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "one"), (2, None), (3, "one")], "id int, t string")
     got = {r["id"]: r["embedding"] for r in text.embed(df, "t", text.HashProvider(16)).collect()}
