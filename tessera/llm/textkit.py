@@ -69,6 +69,36 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(sums[last] - sums[last - lengths] + lengths.astype(np.uint64) * _GOLD)
 
 
+#: Spans of more bytes are hashed and compared byte by byte.
+WIDE_BYTES = 64
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def wide(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+
+def eight_bytes(view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
+    """Bytes 8k to 8k + 7 of each span as one number, zeros behind its end; every span must have a byte there. view: wide(data)."""
+    return view[starts + 8 * k] & _LOW[np.minimum(sizes - 8 * k, 8)]
+
+
+def wide_hashes(data: np.ndarray, view: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of non-empty spans, eight bytes at a time. For those who compare the bytes of equal hashes: texts may be made to collide."""
+    out = mix(eight_bytes(view, starts, sizes, 0) ^ (sizes.astype(np.uint64) * _GOLD))
+    more, k = np.flatnonzero((sizes > 8) & (sizes <= WIDE_BYTES)), 1
+    while len(more):
+        out[more] = mix((out[more] + _GOLD) ^ eight_bytes(view, starts[more], sizes[more], k))
+        k += 1
+        more = more[sizes[more] > 8 * k]
+    far = np.flatnonzero(sizes > WIDE_BYTES)
+    out[far] = span_hashes(data, starts[far], starts[far] + sizes[far], lower=False)
+    return out
+
+
 @dataclass
 class Words:
     """Words of some texts: their byte borders in data, the first word of each text, and the texts' byte borders."""

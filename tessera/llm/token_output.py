@@ -1,9 +1,10 @@
 """Token ids as binary files with a minimal perfect hash index.
 
 Encoding. Texts are cut where the byte-level pre-tokenizer can not look across: before a white-space character that a
-non-white-space one follows, and behind it unless it is a plain space (a plain space goes with the word behind it). Each distinct
-piece is encoded once by the tokenizers library and kept by its hash, so common words cost an array lookup. Every piece's bytes are compared with
-those kept under its hash, and pieces that differ are encoded by themselves. The ids are those of the whole text.
+non-white-space one follows, behind it unless it is a plain space (a plain space goes with the word behind it), and between a letter and a
+punctuation mark. Each distinct piece is encoded once by the tokenizers library and kept in a hash table, so common words cost an array lookup.
+Every piece's bytes are compared with those kept under its hash, and pieces that differ are encoded by themselves. Pieces that are one word
+go to the library's BPE model in the byte-level alphabet, without the pre-tokenizer. The ids are those of the whole text.
 
 Files. Documents go out in ascending key order (range-partitioned), in shards of at most SHARD_TOKENS ids or one document.
 A shard holds a header, the keys, the documents' offsets, the index and the raw ids (2 bytes each where the vocabulary allows).
@@ -19,6 +20,7 @@ other, and a lookup gives the first of them; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -43,117 +45,268 @@ REMEMBERED = 1_200_000
 MAGIC = b"TESSIDS1"
 _HEADER = struct.Struct("<8sBxxxIQQQ")  # magic, bytes of an id, buckets, documents, indexed keys, ids
 
-_SPACES = np.zeros(256, bool)
-_SPACES[[0x20, *range(0x09, 0x0E)]] = True
-#: May start a white-space character of more than one byte, or be one to some engines: no cut is made before these.
-_DOUBTFUL = np.zeros(256, bool)
-_DOUBTFUL[[0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20)]] = True
+#: Classes of bytes, as bits. SURE is no white space to any engine; a C2, E1, E2 or E3 may start such a character of more than one byte.
+_SPACE, _SURE, _BREAK, _LETTER, _MARK, _LEAD, _INNER = (1 << k for k in range(7))
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_KINDS[range(0x09, 0x0E)] |= _BREAK
+_KINDS[[b for b in range(256) if b not in (0x20, *range(0x09, 0x0E), *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3)]] |= _SURE
+_KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _LETTER
+_KINDS[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] |= _MARK
+#: U+00C0 to U+017F, which are letters but for the signs of multiplication and division (C3 97, C3 B7).
+_KINDS[[0xC3, 0xC4, 0xC5]] |= _LEAD
+_KINDS[range(0x80, 0xC0)] |= _INNER
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions where a piece begins; every non-empty text begins one."""
+def _signs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where two bytes are one of the signs among the letters."""
+    return (first == 0xC3) & ((second == 0x97) | (second == 0xB7))
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray = _KINDS) -> np.ndarray:
+    """Byte positions where a piece begins; every non-empty text begins one. Texts do not look at each other."""
     if not len(data):
         return np.zeros(0, np.int64)
-    space = _SPACES[data]
-    follows = np.zeros(len(data), bool)  # a white-space byte with a safe non-white-space byte behind it
-    follows[:-1] = space[:-1] & ~space[1:] & ~_DOUBTFUL[data[1:]]
+    full = np.diff(offsets) > 0
+    first, last = offsets[:-1][full], offsets[1:][full] - 1
+    kind = kinds[data]
+    follows = np.zeros(len(data), np.uint8)  # a white-space byte with a safe non-white-space byte behind it
+    follows[:-1] = kind[:-1] & (kind[1:] >> 1) & 1
+    follows[last] = 0
     cut = follows.copy()
-    cut[1:] |= follows[:-1] & (data[:-1] != 0x20)
-    cut[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.flatnonzero(cut)
+    cut[1:] |= follows[:-1] & (kind[:-1] >> 2)
+    kind[first] &= ~np.uint8(_INNER)
+    marks = np.flatnonzero((kind & _MARK) > 0)
+    marks = marks[marks > 0]
+    before, lead = kind[marks - 1], np.maximum(marks - 2, 0)
+    two = ((before & _INNER) > 0) & ((kind[lead] & _LEAD) > 0) & ~_signs(data[lead], data[marks - 1])
+    cut[marks[((before & _LETTER) > 0) | two]] = 1
+    cut[first] = 1
+    return np.flatnonzero(cut.view(bool))
+
+
+def _alphabet() -> np.ndarray:
+    """The character of each byte in the byte-level alphabet."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = np.zeros(256, "<u4")
+    out[shown] = shown
+    hidden = [b for b in range(256) if b not in set(shown)]
+    out[hidden] = np.arange(256, 256 + len(hidden))
+    return out
+
+
+_ALPHABET = _alphabet()
+#: Words that go to the model in one call.
+RUN = 1000
 
 
 class Encoder:
-    """Ids of whole texts, by distinct pieces. What is known of a piece is kept in arrays sorted by its hash."""
+    """Ids of whole texts, by distinct pieces. What is known of a piece is kept under its number, and its number in an open hash table."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         #: Bytes that an id stands for: the byte-level alphabet has one character a byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
+        spec = json.loads(self.tokenizer.to_str())
+        added, level, self.kinds, self.words = spec["added_tokens"], spec["pre_tokenizer"] or {}, _KINDS.copy(), None
+        for a, b in (x for token in added for x in zip(token["content"].encode(), token["content"].encode()[1:])):
+            if not _KINDS[b] & _SPACE and _KINDS[a] & (_LETTER | _INNER):  # no cut inside an added token
+                self.kinds[b] &= ~np.uint8(_MARK)
+        self.kinds[[token["content"].encode()[0] for token in added]] &= ~np.uint8(_SURE)  # white space before an added token ends a section, as at a text's end
+        if any(token["single_word"] for token in added):  # these look at their neighbours
+            self.kinds &= ~np.uint8(_MARK)
+        plain = spec["model"]["type"] == "BPE" and not spec["normalizer"] and level.get("type") == "ByteLevel" and not level["add_prefix_space"] and level.get("use_regex", True)
+        if plain and all((_KINDS[list(token["content"].encode())] & _MARK).any() for token in added):  # no word holds an added token
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.lengths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32), 0
-        self.raw, self.filled, self.raw_first, self.sizes = np.zeros(1 << 18, np.uint8), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.used, self.filled, self.now = 0, 0, 0, 0
+        self.table = np.full(1 << 12, -1, np.int32)
+        self.keys, self.first, self.at = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        self.lengths, self.sizes, self.born, self.seen = (np.zeros(1 << 10, np.int32) for _ in range(4))
+        self.flat = np.zeros(1 << 12, np.uint16 if len(self.bytes_of) <= 1 << 16 else np.uint32)
+        self.raw = np.zeros(1 << 12, np.uint64)  # the pieces' bytes, each from a new number on
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write values into an array that grows by doubling."""
+        array = getattr(self, name)
+        if at + len(values) > len(array):
+            more = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
+            more[:at] = array[:at]
+            setattr(self, name, array := more)
+        array[at : at + len(values)] = values
+
+    def _enter(self, numbers: np.ndarray) -> None:
+        """Enter known pieces, of distinct hashes, into the table."""
+        mask = len(self.table) - 1
+        place = (self.keys[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.table[place] < 0
+            self.table[place[free]] = numbers[free]
+            left = self.table[place] != numbers
+            numbers, place = numbers[left], (place[left] + 1) & mask
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's piece; -1 where none is known."""
+        mask = len(self.table) - 1
+        place = (hashes & np.uint64(mask)).astype(np.int64)
+        number = self.table[place]
+        left = np.flatnonzero((number >= 0) & (self.keys[number] != hashes))
+        while len(left):
+            place[left] = (place[left] + 1) & mask
+            number[left] = found = self.table[place[left]]
+            left = left[(found >= 0) & (self.keys[found] != hashes[left])]
+        return number
+
+    def _keep_used(self) -> None:
+        """Forget the pieces that no slice after their first one held, and of the others all but the REMEMBERED / 2 that were met last."""
+        keep = np.flatnonzero(self.seen[: self.known] > self.born[: self.known])
+        if len(keep) > (most := REMEMBERED // 2):
+            keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[:most]])
+        now, old = self.now, self.__dict__.copy()
+        self._forget()
+        self._append(*(old[x][keep] for x in ("keys", "sizes", "lengths")), old["flat"][textkit.gather_ranges(old["first"][keep], old["lengths"][keep])], old["raw"][textkit.gather_ranges(old["at"][keep], (old["sizes"][keep] + 7) // 8)])
+        self.now = now
+        self.born[: self.known] = self.seen[: self.known] = now
+
+    def _append(self, keys: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, whose ids and bytes follow each other."""
+        n, wide = self.known, (sizes.astype(np.int64) + 7) // 8
+        self._put("flat", self.used, ids)
+        self._put("raw", self.filled, raw)
+        many = lengths.astype(np.int64)
+        fresh = np.full(len(keys), self.now)
+        for name, values in (("keys", keys), ("sizes", sizes), ("lengths", lengths), ("first", self.used + np.cumsum(many) - many), ("at", self.filled + np.cumsum(wide) - wide), ("born", fresh), ("seen", fresh)):
+            self._put(name, n, values)
+        self.known, self.used, self.filled = n + len(keys), self.used + len(ids), self.filled + len(raw)
+        numbers = np.arange(n, self.known, dtype=np.int32)
+        if 3 * self.known > len(self.table):
+            self.table = np.full(1 << (4 * self.known).bit_length(), -1, np.int32)
+            self._enter(np.arange(self.known, dtype=np.int32))
+        else:
+            self._enter(numbers)
+        return numbers
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece). Pieces that begin with a plain space keep their ids when they are joined, so they go in long runs."""
         joined = [i for i, p in enumerate(pieces) if p[0] == 0x20 and len(p) > 1 and p[-1] > 0x20]
         alone = sorted(set(range(len(pieces))).difference(joined))
         found: list = [None] * len(pieces)
-        runs, sizes = [joined[lo : lo + 1000] for lo in range(0, len(joined), 1000)], np.array([len(p) for p in pieces])
-        texts = [b"".join(pieces[i] for i in run).decode("utf-8", "replace") for run in runs]
-        for run, x in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.asarray(x.ids, np.uint32)
-            covered = np.cumsum(self.bytes_of[ids])
-            ends = np.cumsum(sizes[run])
-            at = np.searchsorted(covered, ends)
-            if (covered[np.minimum(at, len(covered) - 1)] != ends).any():
+        sizes = np.array([len(p) for p in pieces])
+        for run in (joined[lo : lo + RUN] for lo in range(0, len(joined), RUN)):
+            ids = self.tokenizer.encode_batch_fast([b"".join([pieces[i] for i in run]).decode("utf-8", "replace")], add_special_tokens=False)[0].ids
+            at = self._borders(np.array(ids, np.int64), sizes[run])
+            if at is None:
                 alone += run
                 continue
-            for i, part in zip(run, np.split(ids, at[:-1] + 1), strict=True):
-                found[i] = part
+            for i, lo, hi in zip(run, [0, *at.tolist()], at.tolist()):
+                found[i] = ids[lo:hi]
         for i, x in zip(alone, self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in alone], add_special_tokens=False), strict=True):
-            found[i] = np.asarray(x.ids, np.uint32)
-        return np.concatenate(found), np.array([len(x) for x in found])
-
-    def _learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
-        ids, lengths = self._encoded(pieces)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        raw, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.array([len(p) for p in pieces], np.int64)
-        while self.filled + len(raw) > len(self.raw):
-            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
-        self.raw[self.filled : self.filled + len(raw)] = raw
-        at = np.searchsorted(self.keys, keys)
-        self.first = np.insert(self.first, at, self.used + np.cumsum(lengths) - lengths)
-        self.lengths = np.insert(self.lengths, at, lengths)
-        self.raw_first = np.insert(self.raw_first, at, self.filled + np.cumsum(sizes) - sizes)
-        self.sizes = np.insert(self.sizes, at, sizes)
-        self.keys = np.insert(self.keys, at, keys)
-        self.used, self.filled = self.used + len(ids), self.filled + len(raw)
-
-    def _strangers(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Numbers of the pieces whose bytes are not those kept in their slot."""
-        same = self.sizes[slot] == sizes
-        if same.all():
-            differ = np.flatnonzero(self.raw[textkit.gather_ranges(self.raw_first[slot], sizes)] != data)
-            return np.unique(np.searchsorted(starts, differ, "right") - 1) if len(differ) else differ
-        close = np.flatnonzero(same)
-        mine, kept = textkit.gather_ranges(starts[close], sizes[close]), textkit.gather_ranges(self.raw_first[slot[close]], sizes[close])
-        differ = np.searchsorted(starts, mine[self.raw[kept] != data[mine]], "right") - 1
-        return np.union1d(np.flatnonzero(~same), differ)
+            found[i] = x.ids
+        return np.array([x for part in found for x in part], np.uint32), np.array([len(x) for x in found], np.int64)
+
+    def _borders(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray | None:
+        """How many ids reach to the end of each of the joined pieces; None if an id lies across an end."""
+        covered, ends = np.concatenate([[0], np.cumsum(self.bytes_of[ids])]), np.cumsum(sizes)
+        at = np.searchsorted(covered, ends)
+        return at if covered[-1] == ends[-1] and (covered[at] == ends).all() else None
+
+    def _plain_words(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each piece is letters only, but for a plain space before them: the pre-tokenizer leaves it whole."""
+        if self.words is None:
+            return np.zeros(len(starts), bool)
+        raw, begins = data[textkit.gather_ranges(starts, sizes)], np.cumsum(sizes) - sizes
+        other = (_KINDS[raw] & (_LETTER | _LEAD | _INNER)) == 0
+        other[:-1] |= _signs(raw[:-1], raw[1:])
+        other[begins[(raw[begins] == 0x20) & (sizes > 1)]] = False
+        words = np.bitwise_or.reduceat(other, begins) == 0
+        try:
+            raw.tobytes().decode()
+        except UnicodeDecodeError:  # what is no UTF-8 goes through the tokenizer, which sees other characters
+            words &= np.bitwise_or.reduceat(raw, begins) < 0x80
+        return words
+
+    def _encoded_words(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, number of ids) of plain words; None if an id lies across two of them."""
+        ends = np.cumsum(sizes + 1)
+        letters = _ALPHABET[np.append(data, np.uint8(0))[textkit.gather_ranges(starts, sizes + 1)]]
+        letters[ends - 1] = 0x0A
+        text, ids = letters.tobytes().decode("utf-32-le"), []
+        for lo in range(0, len(starts), RUN):
+            run = text[ends[lo] - sizes[lo] - 1 : ends[min(lo + RUN, len(ends)) - 1]]
+            ids.append(np.array(self.words.encode_batch_fast([run], add_special_tokens=False)[0].ids, np.uint32))
+        ids = np.concatenate(ids)
+        at = self._borders(ids, sizes)
+        return None if at is None else (ids, np.diff(at, prepend=0))
+
+    def _ids_of(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each piece), from the library."""
+        words = self._plain_words(data, starts, sizes)
+        first, lengths, ids, done = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), [], 0
+        for which in (np.flatnonzero(words), np.flatnonzero(~words)):
+            if len(which):
+                found = self._encoded_words(data, starts[which], sizes[which]) if words[which[0]] else None
+                part, own = found or self._encoded([data[a : a + n].tobytes() for a, n in zip(starts[which].tolist(), sizes[which].tolist(), strict=True)])
+                lengths[which], first[which] = own, done + np.cumsum(own) - own
+                ids.append(part)
+                done += len(part)
+        return np.concatenate(ids)[textkit.gather_ranges(first, lengths)], lengths
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Numbers of pieces that become known."""
+        ids, lengths = self._ids_of(data, starts, sizes)
+        wide = (sizes + 7) // 8
+        raw = np.zeros(8 * int(wide.sum()), np.uint8)
+        raw[textkit.gather_ranges(8 * (np.cumsum(wide) - wide), sizes)] = data[textkit.gather_ranges(starts, sizes)]
+        return self._append(keys, sizes, lengths, ids, raw.view("<u8"))
+
+    def _strangers(self, data: np.ndarray, view: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Which pieces' bytes are not those kept under their number."""
+        at = self.at[number]
+        other = (self.sizes[number] != sizes) | (self.raw[at] != textkit.eight_bytes(view, starts, sizes, 0))
+        more, k = np.flatnonzero((sizes > 8) & (sizes <= textkit.WIDE_BYTES) & ~other), 1
+        while len(more):
+            other[more] = self.raw[at[more] + k] != textkit.eight_bytes(view, starts[more], sizes[more], k)
+            k += 1
+            more = more[sizes[more] > 8 * k]
+            more = more[~other[more]]
+        far = np.flatnonzero((sizes > textkit.WIDE_BYTES) & ~other)
+        if len(far):
+            same = self.raw.view(np.uint8)[textkit.gather_ranges(8 * at[far], sizes[far])] == data[textkit.gather_ranges(starts[far], sizes[far])]
+            other[far] = ~np.logical_and.reduceat(same, np.cumsum(sizes[far]) - sizes[far])
+        return np.flatnonzero(other)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        starts = piece_starts(data, offsets)
+        starts = piece_starts(data, offsets, self.kinds)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
-        ends = np.append(starts[1:], len(data))
-        unique, where, inverse = np.unique(textkit.span_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > REMEMBERED:
-            self._forget()
-        at = np.searchsorted(self.keys, unique)
-        new = at == len(self.keys)
-        new[~new] = self.keys[at[~new]] != unique[~new]
-        if new.any():
-            raw = data.tobytes()
-            self._learn([raw[starts[w] : ends[w]] for w in where[new]], unique[new])
-            at = np.searchsorted(self.keys, unique)
-        slot = at[inverse]
-        lengths = self.lengths[slot]
-        ids = self.flat[textkit.gather_ranges(self.first[slot], lengths)]
-        others = self._strangers(data, starts, ends - starts, slot)
+        sizes, view = np.diff(starts, append=len(data)), textkit.wide(data)
+        hashes = textkit.wide_hashes(data, view, starts, sizes)
+        self.now += 1
+        number = self._find(hashes)
+        new = np.flatnonzero(number < 0)
+        if self.known + len(new) > REMEMBERED:  # each piece counts as often as it occurs: at most too early
+            self._keep_used()
+            number = self._find(hashes)
+            new = np.flatnonzero(number < 0)
+        if len(new):
+            unique, where, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            number[new] = self._learn(data, starts[new[where]], sizes[new[where]], unique)[inverse]
+        self.seen[number] = self.now
+        lengths = self.lengths[number].astype(np.int64)
+        ids = self.flat[textkit.gather_ranges(self.first[number], lengths)]
+        others = self._strangers(data, view, starts, sizes, number)
         if len(others):
-            own, sizes = self._encoded([data[starts[i] : ends[i]].tobytes() for i in others])
+            own, many = self._ids_of(data, starts[others], sizes[others])
             parts = np.split(ids, np.cumsum(lengths)[:-1])
-            for i, x in zip(others.tolist(), np.split(own, np.cumsum(sizes)[:-1]), strict=True):
+            for i, x in zip(others.tolist(), np.split(own, np.cumsum(many)[:-1]), strict=True):
                 parts[i] = x
             ids, lengths = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         done = np.concatenate([[0], np.cumsum(lengths)])

@@ -125,3 +125,63 @@ def test_query_against_brute_force(spark, small, tokenizer):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (got[doc]["start"], got[doc]["n_tokens"], got[doc]["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+
+
+def whole(texts):
+    return [ENCODER.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def pieces_of(*texts):
+    data, offsets = textkit.buffers(pa.array(texts, pa.string()))
+    return [x.tobytes().decode() for x in np.split(data, token_output.piece_starts(data, offsets)[1:])]
+
+
+@pytest.mark.parametrize("texts", [["a\n\n", "b"], ["a \n\n", "", ".b"], ["a\n\n<|endoftext|>b"], ["é\n\n\n\n<|endoftext|>", "<|endoftext|>"]])
+def test_white_space_before_the_end_of_a_text_or_section(texts):
+    assert encoded(texts) == whole(texts)
+
+
+def test_words_are_one_piece_with_and_without_marks():
+    assert pieces_of("to be, to be. (be) été;", ".be") == ["to", " be", ",", " to", " be", ".", " (be", ")", " été", ";", ".be"]
+    assert pieces_of("a×. 字, b") == ["a×.", " 字,", " b"]
+
+
+PARTS = "'s|'ll|'|''|don't|l'été|×|÷|é|ñ×ñ|ł.|ſ,|….|€5.|.|,|$$$| |  |\n|\n\n|\t|\r\n|\u0085|　| .|\x1c|\x1f.|ŉ'|ǅ,|ª.|µ;|Α.|字.|1|3.14|1a.|word|Word|😀.|a_b|--|\x00|\x7f.|Ã—|Ã·|é÷!|endoftext|<".split("|") + ["<|endoftext|>", "a<|endoftext|>b", "|>", "<|", "a" * 70]
+
+
+def test_odd_characters_beside_each_other(monkeypatch):
+    rng = np.random.default_rng(3)
+    for most, remembered in ((1 << 20, 10**6), (40, 50), (5, 10)):
+        monkeypatch.setattr(token_output, "REMEMBERED", remembered)
+        for _ in range(60):
+            texts = ["".join(PARTS[i] for i in rng.integers(0, len(PARTS), n)) for n in rng.integers(0, 9, 12)]
+            assert encoded(texts, most) == whole(texts)
+
+
+def test_pieces_with_equal_wide_hashes_keep_their_own_ids(monkeypatch):
+    texts = [f"piece{i} of{i % 3} ab{'c' * (i % 4)} x{i % 2} {'long' * 20}{i % 5} {'d' * (60 + i % 9)}" for i in range(60)]
+    real = textkit.wide_hashes
+    ENCODER._forget()
+    monkeypatch.setattr(textkit, "wide_hashes", lambda *a: real(*a) % np.uint64(7))
+    try:
+        assert encoded(texts) == whole(texts) and encoded(texts, 40) == whole(texts)
+    finally:
+        ENCODER._forget()
+
+
+def test_common_pieces_outlast_a_full_memory(monkeypatch):
+    monkeypatch.setattr(token_output, "REMEMBERED", 60)
+    ENCODER._forget()
+    asked = []
+    real = ENCODER._ids_of
+    monkeypatch.setattr(ENCODER, "_ids_of", lambda data, starts, sizes: asked.extend(data[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)) or real(data, starts, sizes))
+    texts = [f"the common words {'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}q" for i in range(400)]
+    assert encoded(texts, 60) == whole(texts)
+    assert asked.count(b" common") == 1 and len(asked) == 403
+
+
+def test_what_is_no_utf8():
+    raw = [b"caf\xc3 x\xe9t\xc3\xa9, \x80\xbf.", b"\xc3", b"\x97. \xc3\xa9.", b"word"]
+    column = pa.array(raw, pa.binary()).view(pa.string())
+    ids, counts = ENCODER.encode(*textkit.buffers(column))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == whole([x.decode("utf-8", "replace") for x in raw])
