@@ -40,7 +40,7 @@ from tessera.llm.shared import materialise, scratch, shuffle_partitions, tokeniz
 END_ID = 2
 #: Ids of a shard at most (but for a single longer document): 16 MB at 2 bytes.
 SHARD_TOKENS = 8_000_000
-#: Pieces that a worker remembers at most: about 80 MB.
+#: Pieces that a worker remembers at most: about 100 MB.
 REMEMBERED = 1_200_000
 MAGIC = b"TESSIDS1"
 _HEADER = struct.Struct("<8sBxxxIQQQ")  # magic, bytes of an id, buckets, documents, indexed keys, ids
@@ -134,10 +134,10 @@ class Encoder:
         self.raw = np.zeros(1 << 12, np.uint64)  # the pieces' bytes, each from a new number on
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
-        """Write values into an array that grows by doubling."""
+        """Write values into an array that grows by a quarter."""
         array = getattr(self, name)
         if at + len(values) > len(array):
-            more = np.zeros(max(2 * len(array), at + len(values)), array.dtype)
+            more = np.zeros(max(len(array) * 5 // 4, at + len(values)), array.dtype)
             more[:at] = array[:at]
             setattr(self, name, array := more)
         array[at : at + len(values)] = values
@@ -169,11 +169,11 @@ class Encoder:
         keep = np.flatnonzero(self.seen[: self.known] > self.born[: self.known])
         if len(keep) > (most := REMEMBERED // 2):
             keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[:most]])
-        now, old = self.now, self.__dict__.copy()
+        now, sizes, lengths = self.now, self.sizes[keep], self.lengths[keep]
+        kept = self.keys[keep], sizes, lengths, self.flat[textkit.gather_ranges(self.first[keep], lengths)], self.raw[textkit.gather_ranges(self.at[keep], (sizes + 7) // 8)]
         self._forget()
-        self._append(*(old[x][keep] for x in ("keys", "sizes", "lengths")), old["flat"][textkit.gather_ranges(old["first"][keep], old["lengths"][keep])], old["raw"][textkit.gather_ranges(old["at"][keep], (old["sizes"][keep] + 7) // 8)])
         self.now = now
-        self.born[: self.known] = self.seen[: self.known] = now
+        self._append(*kept)
 
     def _append(self, keys: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, ids: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """Numbers of new pieces, whose ids and bytes follow each other."""
